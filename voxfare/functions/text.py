@@ -27,7 +27,12 @@ STOP_WORDS = (
     "flight", "airline", "passenger", "service", "staff",
 )
 
+# White space of any kind: as a pattern, and as characters to trim.
 SPACES = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
+SPACE_CHARS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # A word of three or more ASCII letters standing alone; accented letters and digits count as word
 # characters, so they never split a word.
@@ -45,7 +50,7 @@ def squash(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """White space of any kind removed at both ends (``trim`` alone only knows the blank)."""
-    return F.regexp_replace(_col(c), f"^{SPACES}|{SPACES}$", "")
+    return F.btrim(_col(c), F.lit(SPACE_CHARS))
 
 
 def clean_text(c: Column | str, sentinel: str = NOT_RATED) -> Column:
@@ -73,16 +78,18 @@ def country_from_header(header: Column | str, name: Column | str, shown_date: Co
     """The country in ``name (country) date``; otherwise whatever the first parentheses hold."""
     header, name, shown_date = _col(header), _col(name), _col(shown_date)
     usable = (name != NOT_RATED) & (shown_date != NOT_RATED) & (header != "")
-    exact = F.concat(
-        F.lit(r"\Q"), name, F.lit(r"\E\s*\((.*?)\)\s*\Q"), shown_date, F.lit(r"\E")
-    )
-    anywhere = F.lit(r"\((.*?)\)")
-    found = F.when(usable & F.regexp_like(header, exact), F.regexp_extract(header, exact, 1)).otherwise(
-        F.regexp_extract(header, anywhere, 1)
-    )
+    exact = F.concat(_quoted(name), F.lit(r"\s*\((.*?)\)\s*"), _quoted(shown_date))
+    found = F.when(
+        usable & F.regexp_like(header, exact), F.call_function("regexp_extract", header, exact, F.lit(1))
+    ).otherwise(F.regexp_extract(header, r"\((.*?)\)", 1))
     return clean_text(found)
 
 
+def _quoted(c: Column) -> Column:
+    """A pattern that matches the text of a column literally."""
+    return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def verified_flag(body: Column | str) -> Column:
     """Yes / No / sentinel, from the marker in front of a review body."""
     body = _col(body)

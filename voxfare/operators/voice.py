@@ -28,6 +28,15 @@ KEYWORD_META = (
 CORRUPT = "_corrupt_record"
 
 
+def once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """Add a costly column that later steps use many times.
+
+    The one-element explode keeps the optimiser from copying its expression into every filter and column
+    that refers to it.
+    """
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
 # ---------------------------------------------------------------- prompts and replies
 
 def not_stated(df: DataFrame, cols: Sequence[str], value: str = text.NOT_STATED) -> DataFrame:
@@ -57,8 +66,7 @@ def prompt(template: str, fields: Mapping[str, Column | str]) -> Column:
 
 def extract(df: DataFrame, prompt_col: str, reply_col: str, extractor: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """Add the replies of an extraction function, called once per Arrow batch of prompts."""
-    kept = df.schema
-    out_schema = StructType(kept.fields).add(reply_col, "string")
+    out_schema = StructType([*df.schema.fields]).add(reply_col, "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -81,10 +89,10 @@ def parse_reply(df: DataFrame, reply: str, schema: StructType = schemas.EXTRACTI
 
     A reply that is no JSON object, or whose values do not fit the schema, is a failure.
     """
-    with_corrupt = StructType(schema.fields).add(CORRUPT, "string")
+    with_corrupt = StructType([*schema.fields]).add(CORRUPT, "string")
     body = strip_fence(reply)
     parsed = F.from_json(body, with_corrupt, {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"})
-    rows = df.withColumn("parsed", parsed)
+    rows = once(df, "parsed", parsed)
     bad = F.col("parsed").isNull() | F.col(f"parsed.{CORRUPT}").isNotNull()
     good = rows.filter(~bad).withColumn("parsed", F.col("parsed").dropFields(CORRUPT)).drop(reply)
     errors = (
@@ -133,55 +141,66 @@ def valid_years(df: DataFrame, year: str, first: int = 2016) -> DataFrame:
 
 # ---------------------------------------------------------------- lexicon extractor
 
-def lexicon_fields(
-    body: Column | str,
+def lexicon_extract(
+    df: DataFrame,
+    body: str,
     positive: Sequence[str],
     negative: Sequence[str],
     themes: Mapping[str, Sequence[str]],
     limit: int = 6,
-) -> dict[str, Column]:
+) -> DataFrame:
     """Deterministic stand-in for a language model, in native columns over the whole text.
 
-    Sentiment is the balance of positive and negative words; a theme is mentioned where a sentence has one
-    of its words, and takes the balance of those sentences.
+    Adds sentiment_overall, sentiment_score, positive_words, negative_words and a theme column per theme.
+    Sentiment is the balance of positive and negative words; a theme is mentioned where a sentence has one of
+    its words, and takes the balance of those sentences. Each sentence is read once and reduced to its two
+    counts and the themes it mentions.
     """
-    body = F.col(body) if isinstance(body, str) else body
-    tokens = text.words(body)
+    of_theme: dict[str, list[str]] = {}
+    for name, lexicon in themes.items():
+        for w in lexicon:
+            of_theme.setdefault(w, []).append(name)
+    theme_of = F.create_map(*[x for w, names in of_theme.items() for x in (F.lit(w), F.array(*[F.lit(n) for n in names]))])
+
+    lexicon_words = [*positive, *negative, *of_theme]
 
-    def hits(array: Column, lexicon: Sequence[str]) -> Column:
-        return F.filter(array, lambda w: w.isin(*lexicon))
+    def split_up(hits: Column) -> Column:
+        return F.struct(
+            F.filter(hits, lambda x: x.isin(*positive)).alias("p"),
+            F.filter(hits, lambda x: x.isin(*negative)).alias("n"),
+            F.flatten(F.transform(F.filter(hits, lambda x: x.isin(*of_theme)), lambda x: F.try_element_at(theme_of, x))).alias("t"),
+        )
 
-    pos, neg = hits(tokens, positive), hits(tokens, negative)
+    def reduced(sentence: Column) -> Column:
+        hits = F.filter(text.words(sentence), lambda x: x.isin(*lexicon_words))
+        return F.transform(F.array(hits), split_up)[0]  # the one-element array computes the hits once
+
+    rows = once(df, "__s", F.transform(F.split(F.lower(F.col(body)), r"[.!?\n]+"), reduced))
+    pos, neg = F.flatten("__s.p"), F.flatten("__s.n")
     n_pos, n_neg = F.size(pos), F.size(neg)
-    total = n_pos + n_neg
-    score = F.when(total > 0, (n_pos - n_neg) / total).otherwise(0.0)
-    overall = (
-        F.when((n_pos > 0) & (n_pos == n_neg), "mixed")
-        .when(n_pos > n_neg, "positive")
-        .when(n_neg > n_pos, "negative")
-        .otherwise("neutral")
-    )
-    sentences = F.transform(F.split(F.lower(body), r"[.!?\n]+"), lambda s: text.words(s))
 
-    def theme(lexicon: Sequence[str]) -> Column:
-        about = F.flatten(F.filter(sentences, lambda s: F.arrays_overlap(s, F.array(*[F.lit(w) for w in lexicon]))))
-        p, n = F.size(hits(about, positive)), F.size(hits(about, negative))
+    def theme(name: str) -> Column:
+        about = F.filter("__s", lambda s: F.array_contains(s["t"], name))
+        net = F.aggregate(about, F.lit(0), lambda acc, s: acc + F.size(s["p"]) - F.size(s["n"]))
         return (
             F.when(F.size(about) == 0, "not_mentioned")
-            .when(p > n, "positive")
-            .when(n > p, "negative")
+            .when(net > 0, "positive")
+            .when(net < 0, "negative")
             .otherwise("neutral")
         )
 
-    fields = {
-        "sentiment_overall": overall,
-        "sentiment_score": score.cast("double"),
-        "positive_words": F.slice(F.array_distinct(pos), 1, limit),
-        "negative_words": F.slice(F.array_distinct(neg), 1, limit),
-    }
-    for name, lexicon in themes.items():
-        fields[f"theme_{name}"] = theme(lexicon)
-    return fields
+    return rows.select(
+        *df.columns,
+        F.when((n_pos > 0) & (n_pos == n_neg), "mixed")
+        .when(n_pos > n_neg, "positive")
+        .when(n_neg > n_pos, "negative")
+        .otherwise("neutral")
+        .alias("sentiment_overall"),
+        F.when(n_pos + n_neg > 0, (n_pos - n_neg) / (n_pos + n_neg)).otherwise(0.0).alias("sentiment_score"),
+        F.slice(F.array_distinct(pos), 1, limit).alias("positive_words"),
+        F.slice(F.array_distinct(neg), 1, limit).alias("negative_words"),
+        *[theme(name).alias(f"theme_{name}") for name in themes],
+    )
 
 
 # ---------------------------------------------------------------- keywords

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxfare.functions import text
-from voxfare.operators.voice import lexicon_fields
+from voxfare.sources.files import spread
+from voxfare.operators.voice import lexicon_extract, once
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -43,7 +44,9 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            setattr(self, name, df)  # one schema look-up per table
+            return df
         raise AttributeError(name)
 
     @cached_property
@@ -148,7 +151,7 @@ class Tables:
     @cached_property
     def voice_base(self) -> DataFrame:
         """Documents with their labels as reviews with text."""
-        d = self.documents.join(self.labels, "doc_id", "left")
+        d = spread(self.documents).join(self.labels, "doc_id", "left")
         return d.select(
             F.col("doc_id").alias("review_id"),
             "text",
@@ -165,7 +168,8 @@ class Tables:
     @cached_property
     def voice(self) -> DataFrame:
         """Reviews with sentiment by word counts over the whole text."""
-        base = self.voice_base.withColumn("__w", text.words("text"))
+        known = (*POSITIVE, *NEGATIVE)
+        base = once(self.voice_base, "__w", F.filter(text.words("text"), lambda w: w.isin(*known)))
         pos = F.filter("__w", lambda w: w.isin(*POSITIVE))
         neg = F.filter("__w", lambda w: w.isin(*NEGATIVE))
         hits = base.withColumn("pos_hits", pos).withColumn("neg_hits", neg).drop("__w")
@@ -184,9 +188,7 @@ class Tables:
     @cached_property
     def themed(self) -> DataFrame:
         """Reviews with the ten themes by sentence."""
-        f = lexicon_fields("text", POSITIVE, NEGATIVE, THEME_WORDS)
-        themes = [c.alias(n) for n, c in f.items() if n.startswith("theme_")]
-        return self.voice_base.select("*", *themes)
+        return lexicon_extract(self.voice_base, "text", POSITIVE, NEGATIVE, THEME_WORDS)
 
 
 TOKENS = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}'))"

@@ -80,6 +80,15 @@ def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a freshly read table out to all cores if it comes in fewer pieces than there are cores.
+
+    For text work that costs far more than the shuffle. A table of many files is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def union_sources(*dfs: DataFrame) -> DataFrame:
     """Several sources under each other; columns one of them lacks are NULL there."""
     out = dfs[0]
