@@ -202,22 +202,29 @@ def _card_html(rating, title, name, country, when, body, cabin, status, stars):
     )
 
 
+# Page furniture around the cards, with a card in a comment and an end tag in a script.
+PAGE_HEAD = (
+    '<!DOCTYPE html><html><head><title>Reviews</title><script>var t = "</article><article itemprop=review>";</script></head>'
+    '<body><nav><ul><li><a href="/a">All</a><li><a href="/b">More</a></ul></nav>'
+    '<!-- <article itemprop="review"><h2 class="text_header">old</h2></article> --><article><h2 class="text_header">No review</h2></article>'
+)
+PAGE_TAIL = '<article class="ad">Ad</article><footer>&copy; pages</footer></body></html>'
+
+
 def card_pages(t):
-    """A stored page per order: page furniture from ``pages`` around the order's card and a repeat of it."""
-    rows = t.reviews.repartition(t.spark.sparkContext.defaultParallelism, "review_id")
-    frame = t.pages.select(F.col("page_id").alias("pid"), "html")
-    n_pages = frame.count()
+    """A stored page per order: page furniture around the order's card and a repeat of it."""
     card = _card_html(
         F.col("rating_10").cast("int").cast("string"), F.concat(F.lit("Order "), F.col("review_id").cast("string")), F.col("c_name"),
         F.col("reviewer_country"), F.col("review_date"), F.concat("type_of_traveller", F.lit("  trip")), F.col("seat_type"),
         F.when(F.col("recommended") == "Yes", "F").when(F.col("recommended") == "No", "O").otherwise("P"),
         F.floor(F.col("rating_10") / 2).cast("int"),
     )
-    placed = rows.select("review_id", card.alias("card"), (F.col("review_id") % n_pages).alias("pid"))
-    return placed.join(frame, "pid").select(
+    cores = t.spark.sparkContext.defaultParallelism
+    spread = t.reviews.repartition(cores, "review_id") if t.orders.rdd.getNumPartitions() < cores else t.reviews
+    return spread.select(
         F.col("review_id").alias("page_id"),
         F.concat(F.lit("https://reviews.example.com/page/"), F.col("review_id").cast("string")).alias("url"),
-        F.concat(F.replace("html", F.lit("</article>"), F.lit("</article><section>")), "card", "card").alias("html"),
+        F.concat(F.lit(PAGE_HEAD), card, card, F.lit(PAGE_TAIL)).alias("html"),
     )
 
 

@@ -148,6 +148,15 @@ class Tables:
         )
         return self.trial.join(who, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
 
+    @cached_property
+    def trial_by_order(self) -> DataFrame:
+        """The trial per order, which gives its rows a unique key: arm of the last line, mean quantity."""
+        return (
+            self.trial.groupBy("l_orderkey")
+            .agg(F.max("test_group").alias("test_group"), F.avg("meal_satisfaction").alias("meal_satisfaction"))
+            .withColumnRenamed("l_orderkey", "row_key")
+        )
+
     @cached_property
     def voice_base(self) -> DataFrame:
         """Documents with their labels as reviews with text."""
