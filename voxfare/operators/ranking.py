@@ -24,6 +24,14 @@ MAX_LOCAL_ROWS = 20_000
 
 # ---------------------------------------------------------------- joins and set operations
 
+def once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """Add a costly column that later steps use many times.
+
+    The one-element explode keeps the optimiser from copying its expression into every filter and column
+    that refers to it.
+    """
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
 def salted_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:

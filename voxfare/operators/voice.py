@@ -13,6 +13,7 @@ from voxfare.functions import text
 from voxfare.operators.ranking import (
     attach,
     dense_ranks,
+    once,
     salted_join,
     take_lowest,
     top_k,
@@ -28,15 +29,6 @@ KEYWORD_META = (
 CORRUPT = "_corrupt_record"
 
 
-def once(df: DataFrame, name: str, c: Column) -> DataFrame:
-    """Add a costly column that later steps use many times.
-
-    The one-element explode keeps the optimiser from copying its expression into every filter and column
-    that refers to it.
-    """
-    return df.select("*", F.explode(F.array(c)).alias(name))
-
-
 # ---------------------------------------------------------------- prompts and replies
 
 def not_stated(df: DataFrame, cols: Sequence[str], value: str = text.NOT_STATED) -> DataFrame:

@@ -13,7 +13,7 @@ from voxfare.functions.scores import holds
 from voxfare.operators import clusters, propensity, ranking, summaries
 from voxfare.plans.registry import bigint, query, rounded
 from voxfare.plans.views import Tables
-from voxfare.sources.files import spread
+from voxfare.sources.files import compact, spread
 
 # ---------------------------------------------------------------- vectors and clusters
 
@@ -136,6 +136,10 @@ SPEC = propensity.FeatureSpec(
 )
 
 
+# Boosting rounds of the registered queries; the operator's own default is 300.
+ROUNDS = 60
+
+
 def _target_rows(t: Tables) -> DataFrame:
     return propensity.binary_target(t.themed, "recommended")
 
@@ -164,7 +168,8 @@ CODE_SQL = "CASE {0} WHEN 'positive' THEN 1.0 WHEN 'neutral' THEN 0.0 WHEN 'nega
     ("themed",),
 )
 def features(t):
-    out, _ = propensity.features(_target_rows(t), SPEC, ["review_id", "target"])
+    rows = compact(_target_rows(t).drop("text", "positive_words", "negative_words"))
+    out, _ = propensity.features(rows, SPEC, ["review_id", "target"])
     return out.select(
         "review_id", "target", "feat_overall_rating", "feat_year", "feat_is_sarcastic", "feat_theme_ife", "feat_theme_wifi",
         "seat_en", "traveller_src3",
@@ -242,8 +247,8 @@ _FITTED: dict[tuple[str, str], Fitted] = {}
 
 def prepare(t: Tables) -> tuple[list[str], DataFrame, DataFrame]:
     """Features, exact split, gaps filled from the training rows, weights, vectors."""
-    rows, names = propensity.features(_target_rows(t), SPEC, ["review_id", "target"])
-    rows = rows.persist()
+    read = compact(_target_rows(t).drop("text", "positive_words", "negative_words"))  # the texts are read once
+    rows, names = propensity.features(read, SPEC, ["review_id", "target"])
     split = propensity.stratified_split(rows, "target", "review_id")
     gaps = [n for n in names if n.startswith("feat_")]
     imputer = propensity.fit_imputer(split.filter(~F.col("is_test")), gaps)
@@ -251,8 +256,8 @@ def prepare(t: Tables) -> tuple[list[str], DataFrame, DataFrame]:
     weighted = propensity.balanced(full.filter(~F.col("is_test")), "target")
     scaler = propensity.fit_scaler(weighted)
     keep = ["review_id", "target", "features", "scaled"]
-    train = propensity.fold_column(scaler.transform(weighted).select(*keep, "weight"), "review_id").persist()
-    test = scaler.transform(full.filter("is_test")).select(*keep).persist()
+    train = compact(propensity.fold_column(scaler.transform(weighted).select(*keep, "weight"), "review_id"))
+    test = compact(scaler.transform(full.filter("is_test")).select(*keep))
     return names, train, test
 
 
@@ -264,18 +269,14 @@ def fitted(t: Tables) -> Fitted:
         models = {
             "lr": propensity.logistic(train, "target").fit(train),
             "rf": propensity.forest("target").fit(train),
-            "boosted": propensity.boosted("target").fit(train),
+            "boosted": propensity.boosted("target", rounds=ROUNDS).fit(train),
         }
         _FITTED[at] = Fitted(names, train, test, models)
     return _FITTED[at]
 
 
 def _scored(f: Fitted) -> DataFrame:
-    lr, rf, boosted = f.models["lr"], f.models["rf"], f.models["boosted"]
-    plain = {}
-    for name, m in (("lr", lr), ("rf", rf), ("boosted", boosted)):
-        plain[name] = m
-    return propensity.score_all(plain, f.test, "target", "review_id")
+    return propensity.score_all(f.models, f.test, "target", "review_id")
 
 
 @query("lr_fit")

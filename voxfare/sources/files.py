@@ -89,6 +89,18 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def compact(df: DataFrame, rows_per_part: int = 50_000) -> DataFrame:
+    """Cached rows in as few partitions as their number asks for, for fits that pass over them many times."""
+    held = df.persist()
+    parts = max(1, -(-held.count() // rows_per_part))
+    if parts >= held.rdd.getNumPartitions():
+        return held
+    small = held.coalesce(parts).persist()
+    small.count()
+    held.unpersist()
+    return small
+
+
 def union_sources(*dfs: DataFrame) -> DataFrame:
     """Several sources under each other; columns one of them lacks are NULL there."""
     out = dfs[0]
