@@ -73,8 +73,15 @@ def tier(c: Column | str, good: float, fair: float, labels: Sequence[str] = ("gr
     return F.when(c >= good, labels[0]).when(c >= fair, labels[1]).when(c.isNotNull(), labels[2])
 
 
-def _literal_map(mapping: Mapping) -> Column:
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+def _sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{v!r}D" if isinstance(v, float) else str(v)
+
+
+def literal_map(mapping: Mapping) -> Column:
+    """A constant map column, built from one expression text."""
+    return F.expr("map(" + ", ".join(_sql_literal(x) for pair in mapping.items() for x in pair) + ")")
 
 
 def replace_map(c: Column | str, mapping: Mapping) -> Column:
@@ -85,7 +92,7 @@ def replace_map(c: Column | str, mapping: Mapping) -> Column:
 def strict_map(c: Column | str, mapping: Mapping) -> Column:
     """Mapped value; values outside the map become NULL."""
     c = _col(c)
-    return F.when(c.isNotNull(), F.try_element_at(_literal_map(mapping), c))
+    return F.when(c.isNotNull(), F.try_element_at(literal_map(mapping), c))
 
 
 def prefix_class(c: Column | str, prefixes: Mapping[str, str] = MAKER_PREFIXES, other: str = "Unknown") -> Column:

@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxfare.functions.scores import flag_code, rebook_code, safe_ratio, theme_code, to_double
+from voxfare.functions.scores import flag_code, literal_map, rebook_code, safe_ratio, theme_code, to_double
 from voxfare.operators.ranking import bounded_rows, hash_order, prefix_sum, row_numbers, take_lowest
 from voxfare.session import shared_dir
 
@@ -319,7 +319,7 @@ def importances(spark: SparkSession, names: Sequence[str], boosted_model, forest
 def display_name(c: Column | str) -> Column:
     """Readable label: listed names as given, one-hot names with their group, others in title case."""
     c = F.col(c) if isinstance(c, str) else c
-    listed = F.try_element_at(F.create_map(*[F.lit(x) for pair in FEATURE_LABELS.items() for x in pair]), c)
+    listed = F.try_element_at(literal_map(FEATURE_LABELS), c)
     other = c
     for prefix, label in PREFIX_LABELS.items():
         other = F.replace(other, F.lit(prefix), F.lit(label))

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxfare.functions.scores import at_least, at_most, holds, safe_ratio, tier
+from voxfare.functions.scores import at_least, at_most, holds, literal_map, safe_ratio, tier
 from voxfare.functions.text import NOT_RATED
 from voxfare.operators.ranking import top_k, union_all
 
@@ -237,7 +237,7 @@ def theme_summary(
     The total takes in rows without a segment; the per-segment rows do not. Other polarities than
     positive, negative and neutral count as mentioned only. A theme nobody mentions gives no row.
     """
-    names = F.create_map(*[F.lit(x) for pair in themes.items() for x in pair])
+    names = literal_map(themes)
     cols = ("n_mentioned", "n_positive", "n_negative", "n_neutral")
     grouped = (
         _theme_counts(df, list(themes), by, null_is_mentioned)
