@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -37,11 +38,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="voxfare-")
-        spark.conf.set(CHECKPOINT_CONF, base)
+        base = _local_dir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@cache
+def _local_dir() -> str:
+    """One folder for a local-mode process whose session names none."""
+    return tempfile.mkdtemp(prefix="voxfare-")
+
+
 def checkpointed(df, purpose: str = "cut"):
     """Cut the lineage of ``df`` by writing it once to the shared folder and reading it back."""
     spark = df.sparkSession
