@@ -21,7 +21,7 @@ def values(spark):
 @pytest.mark.parametrize("buckets", [1, 7, 64])
 def test_prefix_sum_equals_global_window(values, rows, by, descending, buckets):
     counts = ranking.value_counts(values, "v", by)
-    got = ranking.prefix_sum(counts, "v", ["n"], by, descending, buckets)
+    got = ranking.prefix_sum(counts, "v", ["n"], by, descending, ranking.cut_points(values, "v", buckets))
     order = F.desc("v") if descending else F.asc("v")
     want = counts.select(
         "*",

@@ -123,8 +123,8 @@ def summary(
         F.bround(F.avg(score), 3).alias("avg_sentiment"),
         (F.avg(holds(F.col(recommended) == "Yes")) * 100).alias("pct_recommended"),
     )
-    shares = frequencies(df, cluster).select(cluster, "pct_of_total")
-    out = stats.join(shares, cluster)
+    total = stats.agg(F.sum("frequency")).scalar()
+    out = stats.withColumn("pct_of_total", F.bround(F.col("frequency") / total * 100, 1))
     for part in (mode_by(df, [cluster], cabin), mode_by(df, [cluster], route), cluster_examples(df, cluster, key, body)):
         out = out.join(part, cluster, "left")
     return out.select(

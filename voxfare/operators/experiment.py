@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from voxfare.functions import stats
 from voxfare.functions.scores import holds, safe_ratio
-from voxfare.operators.ranking import prefix_sum, take_lowest
+from voxfare.operators.ranking import cut_points, prefix_sum, take_lowest
 
 CONTROL, TREATMENT = "Control", "Treatment"
 
@@ -135,7 +135,7 @@ def mann_whitney(
     counts = known.groupBy(*by, metric).agg(
         F.count_if(F.col(arm) == treatment).alias("a"), F.count_if(F.col(arm) == control).alias("b")
     )
-    run = prefix_sum(counts, metric, ["b"], by, buckets=buckets)
+    run = prefix_sum(counts, metric, ["b"], by, cuts=cut_points(known, metric, buckets))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     ties = a + b
     u = F.sum(a * (F.col("cum_b") - b + b / 2))

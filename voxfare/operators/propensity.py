@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from math import comb
 from typing import Any
 
 import numpy as np
@@ -12,13 +13,14 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxfare.functions.scores import flag_code, literal_map, rebook_code, safe_ratio, theme_code, to_double
-from voxfare.operators.ranking import bounded_rows, hash_order, prefix_sum, row_numbers, take_lowest
+from voxfare.operators.ranking import bounded_rows, cut_points, hash_order, prefix_sum, row_numbers, take_lowest
 from voxfare.session import shared_dir
 
 SEED = 42
@@ -260,12 +262,12 @@ def class_report(matrix: DataFrame) -> DataFrame:
 
 def roc(df: DataFrame, actual: str, score_col: str, buckets: int | None = None) -> DataFrame:
     """Points of the curve, one per distinct score from the highest down, by a distributed running sum."""
+    known = df.filter(F.col(actual).isNotNull() & F.col(score_col).isNotNull())
     counts = (
-        df.filter(F.col(actual).isNotNull() & F.col(score_col).isNotNull())
-        .groupBy(score_col)
+        known.groupBy(score_col)
         .agg(F.count_if(F.col(actual) == 1).alias("pos"), F.count_if(F.col(actual) == 0).alias("neg"))
     )
-    run = prefix_sum(counts, score_col, ["pos", "neg"], (), descending=True, buckets=buckets)
+    run = prefix_sum(counts, score_col, ["pos", "neg"], (), descending=True, cuts=cut_points(known, score_col, buckets))
     return run.select(
         F.col(score_col).alias("threshold"),
         safe_ratio(F.col("cum_neg"), F.col("total_neg")).alias("fpr"),
@@ -349,13 +351,10 @@ def linear_shap(model, train: DataFrame, df: DataFrame, names: Sequence[str], fe
 
     Long form: one row per row key and feature.
     """
-    means = train.select(F.explode(F.arrays_zip(
-        F.sequence(F.lit(0), F.lit(len(names) - 1)).alias("i"), vector_to_array(features_col).alias("v")
-    )).alias("z")).groupBy("z.i").agg(F.avg("z.v").alias("m"))
-    mean = {r["i"]: r["m"] for r in means.limit(len(names)).collect()}  # one number per feature
+    mean = train.agg(Summarizer.mean(F.col(features_col))).first()[0]  # one number per feature
     x = vector_to_array(features_col)
     parts = F.array(*[
-        F.struct(F.lit(n).alias("feature"), ((x[i] - mean[i]) * float(model.coefficients[i])).alias("phi"))
+        F.struct(F.lit(n).alias("feature"), ((x[i] - float(mean[i])) * float(model.coefficients[i])).alias("phi"))
         for i, n in enumerate(names)
     ])
     return df.select(key, F.explode(parts).alias("p")).select(key, "p.*")
@@ -389,10 +388,10 @@ def tree_paths(model, spark: SparkSession) -> list[dict[str, Any]]:
                 leaves.append({"value": float(node["prediction"]) * weights[tree], "path": taken})
                 continue
             f, limit = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
-            cover = float(sum(node["impurityStats"][:1])) or 1.0
+            cover = float(node["impurityStats"][0]) or 1.0  # training weight that reached the node
             for child, side in ((node["leftChild"], "low"), (node["rightChild"], "high")):
                 low, high, share = taken.get(f, (-np.inf, np.inf, 1.0))
-                part = float(sum(table[child]["impurityStats"][:1])) / cover
+                part = float(table[child]["impurityStats"][0]) / cover
                 bounds = (low, min(high, limit)) if side == "low" else (max(low, limit), high)
                 todo.append((child, {**taken, f: (*bounds, share * part)}))
     return leaves
@@ -415,7 +414,7 @@ def _leaf_contributions(x: np.ndarray, leaves: list[dict[str, Any]], n_features:
         m = len(feats)
         ok = [((x[:, f] > path[f][0]) & (x[:, f] <= path[f][1])).astype("float64") for f in feats]
         share = [path[f][2] for f in feats]
-        weight = [1.0 / (m * _binomial(m - 1, s)) for s in range(m)]
+        weight = [1.0 / (m * comb(m - 1, s)) for s in range(m)]
         for j, f in enumerate(feats):
             poly = [np.ones(len(x))]
             for k in range(m):
@@ -431,12 +430,6 @@ def _leaf_contributions(x: np.ndarray, leaves: list[dict[str, Any]], n_features:
     return phi
 
 
-def _binomial(n: int, k: int) -> float:
-    from math import comb
-
-    return float(comb(n, k))
-
-
 def tree_shap(model, df: DataFrame, names: Sequence[str], key: str, features_col: str = "features") -> DataFrame:
     """Contribution of each feature to the margin of a boosted model, one row per row key and feature.
 
@@ -467,23 +460,26 @@ def partial_dependence(model, df: DataFrame, names: Sequence[str], chosen: Seque
     Rows meet the grid inside each task (array explode) and are averaged before the shuffle, which carries
     one row per task and grid point.
     """
-    spark = df.sparkSession
     x = vector_to_array(features_col)
+    at = {f: list(names).index(f) for f in chosen}
+    shape = df.agg(
+        *[
+            F.struct(F.approx_count_distinct(x[i]).alias("n"), F.percentile_approx(x[i], [0.05, 0.95], 10_000).alias("q")).alias(f)
+            for f, i in at.items()
+        ]
+    ).first()
     grids = []
-    for f in chosen:
-        i = list(names).index(f)
-        values = df.select(x[i].alias("v"))
-        distinct = bounded_rows(values.distinct(), points)
-        if distinct is not None and distinct.count() < points:
-            grid = sorted(r["v"] for r in distinct.collect())
+    for f, i in at.items():
+        few = None
+        if shape[f]["n"] < 2 * points:  # near the limit the estimate does not decide, the count does
+            few = bounded_rows(df.select(x[i].alias("v")).distinct(), points - 1)
+        if few is not None:
+            grid = sorted(r["v"] for r in few.collect())
         else:
-            low, high = values.agg(F.percentile_approx("v", [0.05, 0.95], 10_000)).first()[0]
-            grid = [float(v) for v in np.linspace(low, high, points)]
+            grid = [float(v) for v in np.linspace(*shape[f]["q"], points)]
         grids += [(i, f, float(v)) for v in grid]
     listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("feature"), F.lit(v).alias("grid")) for i, f, v in grids])
-    from pyspark.ml.functions import array_to_vector
-
-    swapped = F.transform(x, lambda v, at: F.when(at == F.col("g.i"), F.col("g.grid")).otherwise(v))
+    swapped = F.transform(x, lambda v, place: F.when(place == F.col("g.i"), F.col("g.grid")).otherwise(v))
     rows = df.select(F.col(features_col), F.explode(listed).alias("g")).select(
         "g.feature", "g.grid", array_to_vector(swapped).alias(features_col)
     )

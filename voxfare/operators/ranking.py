@@ -13,8 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -38,7 +39,8 @@ def salted_join(
     """Join ``left`` to a right side with one row per key, spreading each key over ``salts`` tasks.
 
     The right side is repeated ``salts`` times, so a key that holds a third of the left rows is read
-    by ``salts`` tasks. Only inner and left joins keep their meaning under repetition.
+    by ``salts`` tasks. The salt is a hash of the whole row, so a task that is run again deals its rows out
+    in the same way. Only inner, left, semi and anti joins keep their meaning under repetition.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
@@ -72,7 +74,7 @@ def among_top(df: DataFrame, key: str, k: int) -> DataFrame:
         .limit(k)
         .select(key)
     )
-    return df.join(F.broadcast(top), key, "left_semi")  # k rows at most
+    return df.join(F.broadcast(top) if k <= MAX_LOCAL_ROWS else top, key, "left_semi")
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:
@@ -101,12 +103,18 @@ def bounded_rows(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame | N
     Never more than ``max_rows`` + 1 rows reach the driver. The size of the result is known to the
     optimiser, which then broadcasts it; callers keep a shuffled way for the other case.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def local_table(spark: SparkSession, ddl: str, rows: Sequence[tuple]) -> DataFrame:
+    """A small table of constants that the optimiser knows to be small."""
+    names = [c.split()[0] for c in ddl.split(", ")]
+    return spark.createDataFrame(pa.table({n: list(v) for n, v in zip(names, zip(*rows))}), ddl)
+
+
 def attach(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a one-row-per-key result table to many rows: broadcast when its checked size allows it,
     salted otherwise."""
@@ -119,8 +127,15 @@ def attach(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner
     return salted_join(df, table, on, how)
 
 
-def _cut_points(df: DataFrame, value: str, buckets: int) -> list[float]:
-    """At most ``buckets`` range limits, read to the driver as one small array."""
+def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+    """Range limits that deal the rows out evenly, read to the driver as one small array.
+
+    One pass over one column, without a shuffle. ``buckets`` is the number of shuffle partitions by default.
+    """
+    if buckets is None:
+        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if buckets < 2:
+        return []
     probs = [(i + 1) / buckets for i in range(buckets - 1)]
     row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10_000).alias("p")).first()
     return sorted(set(row["p"] or []))
@@ -132,19 +147,16 @@ def prefix_sum(
     weights: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    buckets: int | None = None,
+    cuts: Sequence[float] = (),
 ) -> DataFrame:
     """Running totals ``cum_<w>`` and group totals ``total_<w>`` of each weight, in value order.
 
-    ``counts`` holds one row per (by, value), without NULL keys. The values are cut into ranges of about
-    equal size; each task sums inside its range, and range totals, a small table, give the starting
-    points. ``buckets=1`` is for values known to be few, such as a ten-point scale.
+    ``counts`` holds one row per (by, value), without NULL keys. Each task sums inside one of the value
+    ranges between ``cuts`` (see ``cut_points``), and range totals, a small table, give the starting points.
+    Without cuts a group is summed in one task: right for values known to be few, such as a ten-point scale.
     """
     by = list(by)
     order = F.desc(value) if descending else F.asc(value)
-    if buckets is None:
-        buckets = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cut_points(counts, value, buckets) if buckets > 1 else []
     if not cuts:
         run = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
         return counts.select(
@@ -154,7 +166,8 @@ def prefix_sum(
         )
     keyed = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")], inputCol="__v", outputCol="__b"
-    ).transform(counts.withColumn("__v", F.col(value).cast("double"))).drop("__v")
+    ).transform(counts.withColumn("__v", F.col(value).cast("double")))
+    keyed = keyed.withColumn("__b", F.col("__b").cast("int")).drop("__v")
     inside = W.partitionBy(*by, "__b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = keyed.select("*", *[F.sum(w).over(inside).alias(f"cum_{w}") for w in weights])
     totals = keyed.groupBy(*by, "__b").agg(*[F.sum(w).alias(f"__t_{w}") for w in weights])
@@ -187,11 +200,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles per group, plus ``n``, ``min`` and ``max``.
 
-    Works on value counts with running sums, so no task ever holds all values of a group.
+    Works on value counts with running sums, so no task ever holds all values of a group. ``buckets=1`` is for
+    values known to be few.
     """
     by = list(by)
     counts = value_counts(df.withColumn(value, F.col(value).cast("double")), value, by)
-    run = prefix_sum(counts, value, ["n"], by, buckets=buckets)
+    run = prefix_sum(counts, value, ["n"], by, cuts=cut_points(df, value, buckets))
     total = F.col("total_n")
     first = F.col("cum_n") - F.col("n")
     aggs = [F.max(total).alias("n"), F.min(value).alias("min"), F.max(value).alias("max")]
@@ -219,7 +233,7 @@ def dense_ranks(freqs: DataFrame, measure: str, name: str, by: Sequence[str] = (
         ranked = local.withColumn(name, F.dense_rank().over(W.partitionBy(*by).orderBy(F.desc(measure))))
         return freqs.join(F.broadcast(ranked), [*by, measure])  # size checked above
     ones = levels.withColumn("__one", F.lit(1).cast("bigint"))
-    ranked = prefix_sum(ones, measure, ["__one"], by, descending=True)
+    ranked = prefix_sum(ones, measure, ["__one"], by, descending=True, cuts=cut_points(ones, measure))
     ranked = ranked.select(*by, measure, F.col("cum___one").cast("int").alias(name))
     return salted_join(freqs, ranked, [*by, measure])
 

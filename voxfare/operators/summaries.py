@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxfare.functions.scores import at_least, at_most, holds, literal_map, safe_ratio, tier
 from voxfare.functions.text import NOT_RATED
-from voxfare.operators.ranking import top_k, union_all
+from voxfare.operators.ranking import local_table, top_k, union_all
 
 # Labels of the ten product themes.
 THEME_LABELS = {
@@ -162,8 +162,7 @@ def stats_having(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], min
 
 def align(df: DataFrame, key: str, categories: Sequence[str]) -> DataFrame:
     """A fixed list of categories in order; missing ones give a row of NULLs, others drop out."""
-    rows = [(i, c) for i, c in enumerate(categories, start=1)]
-    dim = df.sparkSession.createDataFrame(rows, f"ord int, {key} string")
+    dim = local_table(df.sparkSession, f"ord int, {key} string", list(enumerate(categories, start=1)))
     return dim.join(df, key, "left")
 
 

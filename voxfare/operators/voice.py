@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from voxfare.functions import text
 from voxfare.operators.ranking import (
@@ -257,9 +257,12 @@ def cluster_terms(
     ``key`` orders the texts. A cluster without words is called ``General <kind>``.
     """
     words = tokens(df.filter(F.col(cluster).isNotNull()), col, [cluster, key], brand_words)
-    counts = words.groupBy(cluster, "word").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "pos")).alias("first")
-    )
+    if isinstance(df.schema[key].dataType, IntegralType):
+        # One number for (key, place): a fixed-width buffer, so the counting can hash instead of sort.
+        place = F.col(key).cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
+    else:
+        place = F.struct(key, "pos")
+    counts = words.groupBy(cluster, "word").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     best = top_per_group(counts, [cluster], [F.desc("n"), F.asc("first")], k)
     label = F.array_join(
         F.transform(

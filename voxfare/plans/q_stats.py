@@ -330,7 +330,8 @@ def ab_jarque_bera(t):
     ("trial",),
 )
 def group_value_prefix_sums(t):
-    return ranking.prefix_sum(ranking.value_counts(t.trial, "spend", ["cabin_class"]), "spend", ["n"], ["cabin_class"])
+    counts = ranking.value_counts(t.trial, "spend", ["cabin_class"])
+    return ranking.prefix_sum(counts, "spend", ["n"], ["cabin_class"], cuts=ranking.cut_points(t.trial, "spend"))
 
 
 @query(
