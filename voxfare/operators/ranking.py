@@ -284,9 +284,7 @@ def take_lowest(df: DataFrame, by: Sequence[str], key: str, seed: int, quota: Co
     by = list(by)
     by_key = [F.coalesce(F.col(b).cast("string"), F.lit("\\N")).alias(f"__k_{b}") for b in by]
     keys = [f"__k_{b}" for b in by]
-    hashed = df.select("*", *by_key, hash_order(key, seed).alias("__h")).withColumn(
-        "__hb", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int")
-    )
+    hashed = df.select("*", *by_key, hash_order(key, seed).alias("__h")).withColumn("__hb", F.substring("__h", 1, 4))
     sizes = hashed.groupBy(*keys, "__hb").agg(F.count(F.lit(1)).alias("__n"))
     upto = W.partitionBy(*keys).orderBy("__hb").rowsBetween(W.unboundedPreceding, 0)
     reached = F.col("__cum") >= F.col("__quota")
