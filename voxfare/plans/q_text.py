@@ -79,7 +79,7 @@ def date_texts(t):
 def trip_month_fallback(t):
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     flown = F.when(F.col("l_returnflag") == "N", F.date_format("l_shipdate", "MMMM yyyy")).otherwise("Not Rated")
-    months = rows.select(dates.trip_month(flown, F.col("o_orderdate").cast("date")).alias("m"))
+    months = ranking.once(rows, "m", dates.trip_month(flown, F.col("o_orderdate").cast("date"))).select("m")
     kept = months.filter(dates.in_months("m", "1996-05-01", "2000-05-01"))
     return kept.groupBy("m").agg(F.count(F.lit(1)).alias("n")).select(dates.format_month("m").alias("trip_month"), "n")
 
@@ -220,7 +220,7 @@ def card_pages(t):
         F.floor(F.col("rating_10") / 2).cast("int"),
     )
     cores = t.spark.sparkContext.defaultParallelism
-    spread = t.reviews.repartition(cores, "review_id") if t.orders.rdd.getNumPartitions() < cores else t.reviews
+    spread = t.reviews.repartition(cores, "review_id") if t.orders.rdd.getNumPartitions() * 2 <= cores else t.reviews
     return spread.select(
         F.col("review_id").alias("page_id"),
         F.concat(F.lit("https://reviews.example.com/page/"), F.col("review_id").cast("string")).alias("url"),

@@ -81,12 +81,13 @@ def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a freshly read table out to all cores if it comes in fewer pieces than there are cores.
+    """Deal the rows of a freshly read table out to all cores if it comes in far fewer pieces than cores.
 
-    For text work that costs far more than the shuffle. A table of many files is left as it is.
+    For text work that costs more than the shuffle of a table of a few files. A table that keeps half the cores
+    busy by itself is left as it is.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan
 
 
 def compact(df: DataFrame, rows_per_part: int = 50_000) -> DataFrame:
