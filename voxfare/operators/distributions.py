@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxfare.functions.scores import tier
-from voxfare.operators.ranking import attach, cut_points, exact_quantiles, prefix_sum, value_counts
+from voxfare.operators.ranking import attach, cut_points, exact_quantiles, hash_order, prefix_sum, value_counts
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -153,7 +153,7 @@ def jittered(
     """Points of the complete rows with uniform noise that is the same in every run, for scatter plots."""
 
     def noise(salt: int, spread: float):
-        unit = F.pmod(F.xxhash64(F.lit(seed + salt), F.col(key)), F.lit(1_000_003)) / 1_000_003.0
+        unit = F.conv(F.substring(hash_order(key, seed + salt), 1, 8), 16, 10).cast("double") / 2.0**32
         return (unit * 2 - 1) * spread
 
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())

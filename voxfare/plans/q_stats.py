@@ -123,7 +123,13 @@ def linreg_line(t):
     return rounded(rounded(line, "x"), "y", places=4)
 
 
-@query("jittered_points")
+@query(
+    "jittered_points",
+    """SELECT review_id, round(value_for_money + (CAST('0x' || md5('43:' || review_id)[1:8] AS BIGINT) / 4294967296 * 2 - 1) * 0.1, 6) AS x,
+      round(rating_10 + (CAST('0x' || md5('44:' || review_id)[1:8] AS BIGINT) / 4294967296 * 2 - 1) * 0.3, 6) AS y
+      FROM scored WHERE value_for_money IS NOT NULL AND rating_10 IS NOT NULL""",
+    ("scored",),
+)
 def jittered_points(t):
     pts = distributions.jittered(t.scored, "value_for_money", "rating_10", "review_id")
     return rounded(pts, "x", "y")
