@@ -119,3 +119,9 @@ def test_partial_group_limit_in_plan(spark):
     plan = ranking.top_per_group(df, ["g"], [F.asc("id")], 2)
     assert plan.count() == 6
     assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_missing_numbers_do_not_count(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,)], "v double")
+    r = ranking.exact_quantiles(df, "v", {"med": 0.5}).first()
+    assert (r["n"], r["med"], r["max"]) == (2, 2.0, 3.0)

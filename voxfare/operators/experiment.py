@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from voxfare.functions import stats
 from voxfare.functions.scores import holds, safe_ratio
-from voxfare.operators.ranking import cut_points, prefix_sum, take_lowest
+from voxfare.operators.ranking import cut_points, prefix_sum, take_lowest, with_value
 
 CONTROL, TREATMENT = "Control", "Treatment"
 
@@ -129,7 +129,7 @@ def mann_whitney(
     Rank sums come from value counts and a distributed running sum; no arm is ever sorted in one task.
     """
     by = list(by)
-    known = df.filter(F.col(arm).isin(treatment, control) & F.col(metric).isNotNull())
+    known = with_value(df.filter(F.col(arm).isin(treatment, control)), metric)
     for b in by:
         known = known.filter(F.col(b).isNotNull())
     counts = known.groupBy(*by, metric).agg(

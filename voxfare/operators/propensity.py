@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxfare.functions.scores import flag_code, literal_map, rebook_code, safe_ratio, theme_code, to_double
-from voxfare.operators.ranking import bounded_rows, cut_points, hash_order, prefix_sum, row_numbers, take_lowest
+from voxfare.operators.ranking import bounded_rows, cut_points, hash_order, prefix_sum, row_numbers, take_lowest, with_value
 from voxfare.session import shared_dir
 
 SEED = 42
@@ -262,7 +262,7 @@ def class_report(matrix: DataFrame) -> DataFrame:
 
 def roc(df: DataFrame, actual: str, score_col: str, buckets: int | None = None) -> DataFrame:
     """Points of the curve, one per distinct score from the highest down, by a distributed running sum."""
-    known = df.filter(F.col(actual).isNotNull() & F.col(score_col).isNotNull())
+    known = with_value(df.filter(F.col(actual).isNotNull()), score_col)
     counts = (
         known.groupBy(score_col)
         .agg(F.count_if(F.col(actual) == 1).alias("pos"), F.count_if(F.col(actual) == 0).alias("neg"))

@@ -18,6 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType, FloatType
 
 SALTS = 16
 MAX_LOCAL_ROWS = 20_000
@@ -137,7 +138,7 @@ def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[fl
     if buckets < 2:
         return []
     probs = [(i + 1) / buckets for i in range(buckets - 1)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10_000).alias("p")).first()
+    row = with_value(df.select(value), value).agg(F.percentile_approx(F.col(value).cast("double"), probs, 10_000).alias("p")).first()
     return sorted(set(row["p"] or []))
 
 
@@ -187,10 +188,16 @@ def prefix_sum(
     )
 
 
+def with_value(df: DataFrame, c: str) -> DataFrame:
+    """Rows where a column holds a value: neither NULL nor, in a floating-point column, NaN."""
+    kept = df.filter(F.col(c).isNotNull())
+    return kept.filter(~F.isnan(c)) if isinstance(df.schema[c].dataType, (DoubleType, FloatType)) else kept
+
+
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "n") -> DataFrame:
-    """One row per (by, value) with its number of rows; NULL keys and values are left out."""
-    kept = df.select(*by, value)
-    for c in [*by, value]:
+    """One row per (by, value) with its number of rows; NULL keys and missing values are left out."""
+    kept = with_value(df.select(*by, value), value)
+    for c in by:
         kept = kept.filter(F.col(c).isNotNull())
     return kept.groupBy(*by, value).agg(F.count(F.lit(1)).alias(name))
 

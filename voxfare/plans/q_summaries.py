@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxfare.functions import dates, scores
+from voxfare.functions import dates, scores, text
 from voxfare.operators import measures, ranking, summaries
 from voxfare.plans.registry import bigint, query, rounded
 from voxfare.plans.views import PRIORITIES, SEGMENTS
@@ -517,3 +517,38 @@ def sentiment_by_cabin(t):
 )
 def segment_dimension_mix(t):
     return summaries.crosstab(t.reviews, "year", "type_of_traveller", SEGMENTS)
+
+
+@query(
+    "yearly_sentiment",
+    """SELECT year, round(avg(sentiment_score), 6) AS sentiment_score, round(avg(overall_rating_10), 6) AS overall_rating_10 FROM voice GROUP BY year""",
+    ("voice",),
+)
+def yearly_sentiment(t):
+    cols = ("sentiment_score", "overall_rating_10")
+    return rounded(summaries.profile(t.voice, ["year"], cols), *cols)
+
+
+@query(
+    "length_by_band",
+    """SELECT CASE WHEN overall_rating_10 <= 3 THEN 'Low (1–3)' WHEN overall_rating_10 <= 6 THEN 'Mid (4–6)'
+        WHEN overall_rating_10 <= 8 THEN 'High (7–8)' ELSE 'Top (9–10)' END AS rating_band,
+      round(avg(length(text)), 6) AS mean, count(*) AS n FROM voice_base GROUP BY 1""",
+    ("voice_base",),
+)
+def length_by_band(t):
+    sized = t.voice_base.select(
+        scores.band("overall_rating_10").alias("rating_band"), text.text_length("text").alias("review_len")
+    )
+    return rounded(summaries.profile(sized, ["rating_band"], ["review_len"], ("mean", "n")), "mean")
+
+
+@query(
+    "sarcasm_frequency",
+    """SELECT CASE WHEN is_sarcastic THEN 'sarcastic' ELSE 'plain' END AS tone, count(*) AS n,
+      round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share_pct FROM voice_base GROUP BY 1""",
+    ("voice_base",),
+)
+def sarcasm_frequency(t):
+    toned = t.voice_base.select(F.when(F.col("is_sarcastic"), "sarcastic").otherwise("plain").alias("tone"))
+    return rounded(summaries.freq(toned, ["tone"], share=True), "share_pct")
