@@ -5,11 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxfare.llm import packing, ring, simhash, token_files
+from voxfare.llm import fingerprints, nearest, packing, ring, segmentation, simhash, substrings, token_files, toxicity, url_rules
 from voxfare.llm.common import table
 from voxfare.llm.encoding import Encoder
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +27,36 @@ def query(fn):
     return fn
 
 
+@query
+def op1_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+@query
+def op2_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
+
+
+ORACLES["op2_url_sweep"] = r"""
+WITH rules(rule, host, path, verdict) AS (VALUES
+  ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'),
+  ('net/fr/', 'net', '/fr/', 'block')),
+urls AS (SELECT page_id,
+  translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+fits AS (SELECT u.page_id, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
+  FROM urls u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+  GROUP BY u.page_id)
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM urls u LEFT JOIN fits f USING (page_id)
+"""
+
+
+@query
+def op3_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), Encoder(public_tokenizers.path(BYTE_BPE)), end_id=1)
@@ -29,6 +67,16 @@ def op5_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_round_trip(table(spark, sf_dir, "documents"), Encoder(public_tokenizers.path(BYTE_BPE)), end_id=0)
 
 
+@query
+def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.segment_documents(table(spark, sf_dir, "documents"), segmentation.Pieces(public_tokenizers.path(PIECES)))
+
+
 @query
 def op8_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -37,3 +85,8 @@ def op8_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_repeated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(table(spark, sf_dir, "documents"))
