@@ -20,29 +20,29 @@ from pyspark.sql import Window as W
 
 from voxfare.llm.common import chunk_ends, slices, stored, texts_of
 
-LEAST, NORMAL, MOST = 16, 64, 255
-DIGITS = 12
+LEAST, NORMAL, MOST = 12, 32, 255
+DIGEST_BYTES = 5
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 NAMES = [c.split()[0] for c in OUT.split(", ")]
 
 
-def chunk_set(text: str) -> frozenset[str]:
+def chunk_set(text: str) -> frozenset[bytes]:
     data = text.encode("utf-8", "surrogatepass")
     ends = chunk_ends(np.frombuffer(data, dtype=np.uint8), LEAST, NORMAL, MOST)
-    digest = xxhash.xxh3_64_hexdigest
-    return frozenset([f"{digest(data[a:b])[:10]}{b - a:02x}" for a, b in zip([0, *ends], ends)])
+    digest = xxhash.xxh3_64_digest
+    return frozenset([digest(data[a:b])[:DIGEST_BYTES] + bytes([b - a]) for a, b in zip([0, *ends], ends)])
 
 
-def fingerprint(chunks: frozenset[str]) -> str:
-    return "".join(sorted(chunks))
+def fingerprint(chunks: frozenset[bytes]) -> bytes:
+    return b"".join(sorted(chunks))
 
 
-def weight(chunks: frozenset[str]) -> int:
-    return sum(int(c[10:], 16) for c in chunks)
+def weight(chunks: frozenset[bytes]) -> int:
+    return sum(c[DIGEST_BYTES] for c in chunks)
 
 
-def likeness(one: frozenset[str], other: frozenset[str]) -> float:
+def likeness(one: frozenset[bytes], other: frozenset[bytes]) -> float:
     """Share of the bytes of ``one`` in chunks that ``other`` has; two empty sets are alike, an empty and another not."""
     if not one:
         return float(not other)
@@ -55,7 +55,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def judged(doc: int, text: str, own: frozenset[str], following: str, next_set: frozenset[str]) -> tuple:
+def judged(doc: int, text: str, own: frozenset[bytes], following: str, next_set: frozenset[bytes]) -> tuple:
     new = edited(text, following)
     new_set = chunk_set(new)
     sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
@@ -63,7 +63,7 @@ def judged(doc: int, text: str, own: frozenset[str], following: str, next_set: f
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=[*NAMES, "seg", "first", "last", "edge"])
 
 
@@ -115,4 +115,5 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_i
     follows = firsts.select("seg", F.coalesce(F.lead("opening").over(by_range), F.first("opening").over(by_range)).alias("following"))
     waiting = made.filter("last").select("doc_id", "edge", "seg").join(follows, "seg").select("doc_id", "edge", "following")
     out = made.filter("not last").select(*NAMES).unionByName(waiting.mapInArrow(_edges, OUT))
-    return out.withColumnRenamed("doc_id", key)
+    written = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return out.withColumns(written).withColumnRenamed("doc_id", key)

@@ -147,7 +147,7 @@ def nearest(
     sound = sound.filter(F.size("v") == sizes["size"])
     ids = sound.select("print", "vec_id").distinct().withColumn("at", F.row_number().over(W.partitionBy("print").orderBy("vec_id")))
     members = ids.filter(F.col("at") <= k + 1).groupBy("print").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
-    queries = sound.filter(is_query).select("print", F.col("vec_id").alias("query_id")).distinct()
+    queries = sound.filter(is_query).select(F.col("print").alias("query"), F.col("vec_id").alias("query_id")).distinct()
     distinct = sound.groupBy("print").agg(F.first("v").alias("v"), F.max(F.expr(is_query)).alias("asked"))
     distinct = stored(distinct, "distinct-vectors")
     n = distinct.count()
@@ -165,17 +165,18 @@ def nearest(
     placed = distinct.select("print", "v").mapInArrow(with_keys, "print string, ordering int, key long")
     placed = placed.withColumn("band", F.shiftright("key", max(0, min(DIMS, sizes["size"]) * BITS - 10)).cast("int"))
     ranked = class_ranks(stored(placed, "hilbert-keys"), ["ordering"], "band", ["key", "print"], "rank").select("print", "ordering", "rank")
-    rows = ranked.join(distinct, "print")
+    rows = stored(ranked.join(distinct, "print"), "ranked-vectors")
     blocked = rows.select("ordering", F.floor(F.col("rank") / BLOCK_ROWS).alias("block"), "rank", "print", "v")
     first = F.floor(F.greatest(F.lit(0), F.col("rank") - window) / BLOCK_ROWS)
     last = F.floor(F.least(F.lit(n - 1), F.col("rank") + window) / BLOCK_ROWS)
-    asked = rows.filter("asked").select("ordering", F.explode(F.sequence(first, last)).alias("block"), "rank", "print", "v")
-    found = blocked.groupBy("ordering", "block").cogroup(asked.groupBy("ordering", "block")).applyInPandas(
+    visits = rows.filter("asked").select("ordering", F.explode(F.sequence(first, last)).alias("block"), "rank", "print", "v")
+    asked = visits.toDF("q_ordering", "q_block", "rank", "print", "v")
+    found = blocked.groupBy("ordering", "block").cogroup(asked.groupBy("q_ordering", "q_block")).applyInPandas(
         _block_search(k, window), "query string, print string, score double"
     )
     found = found.groupBy("query", "print").agg(F.min("score").alias("score"))
     best = found.withColumn("at", F.row_number().over(W.partitionBy("query").orderBy("score", "print"))).filter(F.col("at") <= 2 * k)
     pairs = best.join(members, "print").select("query", "score", F.explode("ids").alias("vec_id"))
-    answers = pairs.join(queries, F.col("query") == queries["print"]).filter("vec_id <> query_id")
+    answers = pairs.join(queries, "query").filter("vec_id <> query_id")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

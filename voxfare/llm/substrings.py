@@ -125,7 +125,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", lea
             for part in slices(batch):
                 rows = []
                 for doc, t, f in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("__found").to_pylist()):
-                    rows += [(doc, *s) for s in (cut_out(t, s)[1] if f and (s := runs(f, least_run)) else [])]
+                    spans = runs(f, least_run)
+                    rows += [(doc, *s) for s in cut_out(t, spans)[1]] if spans else []
                 made = [pa.array([r[i] for r in rows], type=pa.int64()) for i in range(4)]
                 yield pa.RecordBatch.from_arrays(made, names=["doc_id", "start", "end", "first_doc_id"])
 

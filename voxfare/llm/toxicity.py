@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives; every other training document is unlabelled, whatever its label says. A
-linear classifier over the presence of words is fitted in numpy: with class prior p the risk is
+linear classifier over the presence of words and word beginnings is fitted in numpy: with class prior p the risk is
 ``p R+(P) + max(0, R-(U) - p R-(P))``, and where the second part turns negative the step goes the other way, so the
 classifier does not learn unlabelled rows as negatives by heart. Words are chosen by counts over the training rows.
 """
@@ -27,13 +27,19 @@ LEAST_DOCUMENTS = 5
 THRESHOLD = 0.7
 
 
+def marks_of(text: str) -> set[str]:
+    """The distinct lower-cased words of a text, and the beginnings of the longer ones."""
+    words = set(WORD.findall(text.lower()))
+    return words.union(*[["^" + w[:5], "^" + w[:6]] for w in words if len(w) > 5])
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
     bias: float
 
     def score(self, text: str) -> float:
-        found = self.weights.keys() & set(WORD.findall(text.lower()))
+        found = marks_of(text) & self.weights.keys()
         f = self.bias + sum(sorted(self.weights[w] for w in found))
         return float(1 / (1 + np.exp(-np.clip(f, -50, 50))))
 
@@ -44,7 +50,7 @@ def held_out(key: Column) -> Column:
 
 
 def fit_nnpu(
-    rows: np.ndarray, words: np.ndarray, positive: np.ndarray, n_words: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 2e-4
+    rows: np.ndarray, words: np.ndarray, positive: np.ndarray, n_words: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 3e-5
 ) -> tuple[np.ndarray, float]:
     """Weights and bias from the sparse matrix (rows, words) of word presence; ``positive`` marks confirmed rows."""
     n = len(positive)
@@ -70,7 +76,7 @@ def fit_nnpu(
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            found = [sorted(set(WORD.findall(t.lower()))) for t in texts_of(part, "text")]
+            found = [sorted(marks_of(t)) for t in texts_of(part, "text")]
             yield pa.RecordBatch.from_arrays([part.column("print"), part.column("toxic"), pa.array(found, type=pa.list_(pa.string()))], names=["print", "toxic", "words"])
 
 
