@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives; every other training document is unlabelled, whatever its label says. A
-linear classifier over the presence of words and word beginnings is fitted in numpy: with class prior p the risk is
+linear classifier over the presence of words is fitted in numpy: with class prior p the risk is
 ``p R+(P) + max(0, R-(U) - p R-(P))``, and where the second part turns negative the step goes the other way, so the
 classifier does not learn unlabelled rows as negatives by heart. Words are chosen by counts over the training rows.
 """
@@ -21,16 +21,17 @@ from voxfare.llm.common import slices, stored, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the fit: positives, unlabelled rows, and words in the model.
-FIT_POSITIVES, FIT_UNLABELLED, FIT_WORDS = 20_000, 40_000, 3_000
+FIT_POSITIVES, FIT_UNLABELLED, FIT_WORDS = 20_000, 40_000, 2_000
 #: Documents that must hold a word before the model may weigh it.
 LEAST_DOCUMENTS = 5
+#: How much more frequent it must be in positives than in all rows: words that tell nothing cost time and add noise.
+LEAST_LIFT = 2.0
 THRESHOLD = 0.7
 
 
 def marks_of(text: str) -> set[str]:
-    """The distinct lower-cased words of a text, and the beginnings of the longer ones."""
-    words = set(WORD.findall(text.lower()))
-    return words.union(*[["^" + w[:5], "^" + w[:6]] for w in words if len(w) > 5])
+    """The distinct lower-cased words of a text."""
+    return set(WORD.findall(text.lower()))
 
 
 @dataclass(frozen=True)
@@ -104,8 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return constant
     counts = words.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n"))
     expected = F.col("n") * sizes[1] / (sizes[0] + sizes[1])
-    tell = F.abs(F.col("p") - expected) / F.sqrt(expected)
-    kept = [r["word"] for r in counts.filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc(tell), "word").limit(FIT_WORDS).select("word").collect()]
+    tell = (F.col("p") - expected) / F.sqrt(expected)
+    kept = [r["word"] for r in counts.filter((F.col("n") >= LEAST_DOCUMENTS) & (F.col("p") > LEAST_LIFT * expected)).orderBy(F.desc(tell), "word").limit(FIT_WORDS).select("word").collect()]
     if not kept:
         return constant
     place = {w: i for i, w in enumerate(kept)}
