@@ -1,9 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; every other training document is unlabelled, whatever its label says. A
-linear classifier over the presence of words is fitted in numpy: with class prior p the risk is
-``p R+(P) + max(0, R-(U) - p R-(P))``, and where the second part turns negative the step goes the other way, so the
-classifier does not learn unlabelled rows as negatives by heart. Words are chosen by counts over the training rows.
+Confirmed toxic documents are the positives P. The unlabelled sample U is all training documents, whatever their
+labels say: it holds toxic ones at the class prior p, as the estimator asks, so confirmed ones belong to it too. A linear
+classifier over the presence of words and word beginnings is fitted in numpy: the risk is ``p R+(P) + max(0, R-(U) - p R-(P))``, and where
+the second part turns negative the step goes the other way, so the classifier does not learn unlabelled rows as
+negatives by heart. Words are chosen by counts over the training rows.
 """
 
 from __future__ import annotations
@@ -20,18 +21,23 @@ from pyspark.sql import functions as F
 from voxfare.llm.common import slices, stored, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the fit: positives, unlabelled rows, and words in the model.
+#: Letters of a word beginning.
+BEGINNING = 5
+#: Bounds of the fit: positives, other rows, and words in the model.
 FIT_POSITIVES, FIT_UNLABELLED, FIT_WORDS = 20_000, 40_000, 2_000
 #: Documents that must hold a word before the model may weigh it.
 LEAST_DOCUMENTS = 5
 #: How much more frequent it must be in positives than in all rows: words that tell nothing cost time and add noise.
 LEAST_LIFT = 2.0
+#: Standard deviations by which its count in positives must exceed that of a word without bearing.
+LEAST_DEVIATIONS = 5.0
 THRESHOLD = 0.7
 
 
 def marks_of(text: str) -> set[str]:
-    """The distinct lower-cased words of a text."""
-    return set(WORD.findall(text.lower()))
+    """The distinct lower-cased words of a text, and the beginnings of the longer ones, which inflected forms share."""
+    words = set(WORD.findall(text.lower()))
+    return words | {"^" + w[:BEGINNING] for w in words if len(w) >= BEGINNING}
 
 
 @dataclass(frozen=True)
@@ -51,20 +57,26 @@ def held_out(key: Column) -> Column:
 
 
 def fit_nnpu(
-    rows: np.ndarray, words: np.ndarray, positive: np.ndarray, n_words: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 3e-5
+    rows: np.ndarray, words: np.ndarray, positive: np.ndarray, n_words: int, prior: float, confirmed: float | None = None,
+    rounds: int = 400, rate: float = 0.05, decay: float = 1e-4,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias from the sparse matrix (rows, words) of word presence; ``positive`` marks confirmed rows."""
+    """Weights and bias from the sparse matrix (rows, words) of word presence; ``positive`` marks confirmed rows.
+
+    ``confirmed`` is the share of confirmed rows among all; it weighs a sample that took the two kinds at different rates.
+    """
     n = len(positive)
-    n_pos, n_unl = max(1, int(positive.sum())), max(1, int((~positive).sum()))
+    confirmed = positive.mean() if confirmed is None else confirmed
+    n_pos, n_other = max(1, int(positive.sum())), max(1, int((~positive).sum()))
+    in_all = np.where(positive, confirmed / n_pos, (1 - confirmed) / n_other)
     theta = np.zeros(n_words + 1)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         f = theta[-1] + np.bincount(rows, weights=theta[words], minlength=n)
         p = 1 / (1 + np.exp(-np.clip(f, -50, 50)))
         as_negative = np.logaddexp(0, f)
-        rest = as_negative[~positive].mean() - prior * as_negative[positive].mean()
+        rest = (in_all * as_negative).sum() - prior * as_negative[positive].mean()
         up = np.where(positive, prior * (p - 1) / n_pos, 0.0)
-        down = np.where(positive, -prior * p / n_pos, p / n_unl)
+        down = in_all * p - np.where(positive, prior * p / n_pos, 0.0)
         slope = up + down if rest >= 0 else -down
         grad = np.append(np.bincount(words, weights=slope[rows], minlength=n_words), slope.sum())
         grad[:-1] += decay * theta[:-1]
@@ -84,21 +96,22 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """A model from the rows that are not held out.
 
-    The prior is the share of toxic labels among labelled training rows. Equal texts count once. At most FIT_POSITIVES
-    and FIT_UNLABELLED texts, those with the lowest hashes, are taken. Several labels of a key: the highest holds. Without
+    The prior is the share of toxic labels among labelled training rows, so rows must be labelled without regard to
+    toxicity. Equal texts count once, as toxic if one of them is. At most FIT_POSITIVES and FIT_UNLABELLED texts, those
+    with the lowest hashes, are taken and weighed by their numbers in the whole table. Several labels of a key: the highest holds. Without
     toxic or without other texts the score is the prior of every document.
     """
     marks = labels.filter(f"`{key}` is not null and `{label}` is not null").groupBy(F.col(key).alias("doc_id")).agg(F.max(label).cast("int").alias("toxic"))
     marks = marks.filter(~held_out(F.col("doc_id")))
-    totals = marks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
-    prior = totals["p"] / totals["n"] if totals["n"] else 0.0
+    marked = marks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
+    prior = marked["p"] / marked["n"] if marked["n"] else 0.0
     read = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).filter(~held_out(F.col("doc_id")))
     seen = read.join(marks, "doc_id", "left").select("text", F.xxhash64("text").alias("print"), (F.coalesce("toxic", F.lit(0)) == 1).cast("int").alias("toxic"))
-    chosen = []
-    for flag, most in ((1, FIT_POSITIVES), (0, FIT_UNLABELLED)):
-        lowest = seen.filter(F.col("toxic") == flag).select("print").distinct().orderBy("print").limit(most)
-        chosen.append(seen.filter(F.col("toxic") == flag).join(lowest, "print", "left_semi").dropDuplicates(["print"]))
-    words = stored(chosen[0].unionByName(chosen[1]).select("print", "toxic", "text").mapInArrow(_distinct_words, "print long, toxic int, words array<string>"), "toxic-words")
+    kinds = stored(seen.groupBy("print").agg(F.max("toxic").alias("toxic")), "toxic-prints")
+    totals = {r["toxic"]: r["n"] for r in kinds.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lowest = [kinds.filter(F.col("toxic") == flag).orderBy("print").limit(most) for flag, most in ((1, FIT_POSITIVES), (0, FIT_UNLABELLED))]
+    chosen = seen.drop("toxic").join(lowest[0].unionByName(lowest[1]), "print").dropDuplicates(["print"])
+    words = stored(chosen.select("print", "toxic", "text").mapInArrow(_distinct_words, "print long, toxic int, words array<string>"), "toxic-words")
     sizes = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     constant = Model({}, float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (50.0 if prior else -50.0))
     if not sizes.get(1) or not sizes.get(0):
@@ -106,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     counts = words.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n"))
     expected = F.col("n") * sizes[1] / (sizes[0] + sizes[1])
     tell = (F.col("p") - expected) / F.sqrt(expected)
-    kept = [r["word"] for r in counts.filter((F.col("n") >= LEAST_DOCUMENTS) & (F.col("p") > LEAST_LIFT * expected)).orderBy(F.desc(tell), "word").limit(FIT_WORDS).select("word").collect()]
+    kept = [r["word"] for r in counts.filter((F.col("n") >= LEAST_DOCUMENTS) & (F.col("p") > LEAST_LIFT * expected) & (tell >= LEAST_DEVIATIONS)).orderBy(F.desc(tell), "word").limit(FIT_WORDS).select("word").collect()]
     if not kept:
         return constant
     place = {w: i for i, w in enumerate(kept)}
@@ -119,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     sample = words.mapInArrow(chosen_words, "print long, toxic int, at array<int>").orderBy("print", "toxic").toPandas()
     rows = np.repeat(np.arange(len(sample)), sample["at"].map(len))
     flat = np.concatenate([np.asarray(a, dtype=np.int64) for a in sample["at"]])
-    weights, bias = fit_nnpu(rows, flat, sample["toxic"].to_numpy() == 1, len(kept), prior)
+    confirmed = totals[1] / (totals[0] + totals[1])
+    weights, bias = fit_nnpu(rows, flat, sample["toxic"].to_numpy() == 1, len(kept), prior, confirmed)
     return Model({w: float(x) for w, x in zip(kept, weights)}, bias)
 
 
