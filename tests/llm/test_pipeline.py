@@ -7,7 +7,7 @@ from helpers import prose
 from voxfare.llm.common import stored, table
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
-PASSAGE = prose(77, 80)
+PASSAGE = prose(7_777, 80)
 
 
 def folder(spark, tmp_path, pairs, marks):
