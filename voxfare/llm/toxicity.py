@@ -106,11 +106,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     marked = marks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     prior = marked["p"] / marked["n"] if marked["n"] else 0.0
     read = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).filter(~held_out(F.col("doc_id")))
-    seen = read.join(marks, "doc_id", "left").select("text", F.xxhash64("text").alias("print"), (F.coalesce("toxic", F.lit(0)) == 1).cast("int").alias("toxic"))
-    kinds = stored(seen.groupBy("print").agg(F.max("toxic").alias("toxic")), "toxic-prints")
+    seen = read.join(marks, "doc_id", "left").select("doc_id", "text", F.xxhash64("text").alias("print"), (F.coalesce("toxic", F.lit(0)) == 1).cast("int").alias("toxic"))
+    kinds = stored(seen.groupBy("print").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")), "toxic-prints")
     totals = {r["toxic"]: r["n"] for r in kinds.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     lowest = [kinds.filter(F.col("toxic") == flag).orderBy("print").limit(most) for flag, most in ((1, FIT_POSITIVES), (0, FIT_UNLABELLED))]
-    chosen = seen.drop("toxic").join(lowest[0].unionByName(lowest[1]), "print").dropDuplicates(["print"])
+    # one document stands for all copies of its text, so copies do not meet in one task
+    own = read.withColumn("print", F.xxhash64("text"))
+    chosen = own.join(lowest[0].unionByName(lowest[1]), ["doc_id", "print"]).dropDuplicates(["print"])
     words = stored(chosen.select("print", "toxic", "text").mapInArrow(_distinct_words, "print long, toxic int, words array<string>"), "toxic-words")
     sizes = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     constant = Model({}, float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (50.0 if prior else -50.0))
