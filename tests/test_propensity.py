@@ -85,6 +85,12 @@ def test_split_and_weights(prepared):
     assert {r["fold"] for r in rows.select("fold").distinct().collect()} == set(range(5))
 
 
+def test_weights_of_three_classes(spark):
+    rows = spark.createDataFrame([(c,) for c in "aaabbcc"] + [(None,)], "target string")
+    got = {(r["target"], r["weight"] and round(r["weight"], 6)) for r in propensity.balanced(rows, "target").collect()}
+    assert got == {("a", round(7 / 9, 6)), ("b", round(7 / 6, 6)), ("c", round(7 / 6, 6)), (None, None)}
+
+
 def test_logistic_and_cross_validation(prepared):
     names, rows = prepared
     model = propensity.logistic(rows, "target").fit(rows)

@@ -98,6 +98,18 @@ def test_batch_twin(spark):
     assert [r["review_id"] for r in good.collect()] == [3] and [r["review_id"] for r in bad.collect()] == [2]
 
 
+def test_each_row_has_one_reply(spark):
+    """A reply that differs from call to call: no row is lost and none comes out twice."""
+
+    def unsteady(df):
+        text = F.when(F.rand() < 0.5, F.lit("oops")).otherwise(F.lit('{"top_praise": "x"}'))
+        return df.withColumn("reply", text)
+
+    df = spark.range(400).withColumnRenamed("id", "review_id")
+    good, bad = incremental.extract_batch(df, df.limit(0), "review_id", unsteady)
+    assert sorted([r["review_id"] for r in good.collect()] + [r["review_id"] for r in bad.collect()]) == list(range(400))
+
+
 def test_daily_summary_drops_repeats_and_leaves_open_days(spark, tmp_path):
     src, out, cp = (str(tmp_path / d) for d in ("ev", "days", "cp"))
     t0 = datetime(2024, 1, 1, 12)

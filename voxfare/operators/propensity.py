@@ -140,19 +140,17 @@ def impute(model: Model, df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
-    """Balanced weight n / (2 n_c) of each class."""
+    """Balanced weight n / (k n_c) of each of the k classes."""
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.withColumn("weight", total / (F.lit(2.0) * F.col("n")))
+    share = counts.agg(F.sum("n") / F.count(F.lit(1))).scalar()
+    return counts.withColumn("weight", share / F.col("n"))
 
 
 def balanced(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
-    """Add the balanced class weight to each row (two classes: one literal per class)."""
-    weights = {r[target]: r["weight"] for r in class_weights(df, target).limit(2).collect()}
-    out = F.when(F.lit(False), F.lit(None).cast("double"))
-    for value, weight in weights.items():
-        out = out.when(F.col(target) == value, weight)
-    return df.withColumn(name, out)
+    """Add the balanced weight n / (k n_c) of each row's class among k classes; a NULL class has no weight."""
+    weights = class_weights(df.filter(F.col(target).isNotNull()), target).select(F.col(target).alias("__class"), F.col("weight").alias("__weight"))
+    joined = df.join(weights, F.col(target) == F.col("__class"), "left")
+    return joined.select(*[c for c in df.columns if c != name], F.col("__weight").alias(name))
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:

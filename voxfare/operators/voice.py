@@ -139,13 +139,14 @@ def lexicon_extract(
     positive: Sequence[str],
     negative: Sequence[str],
     themes: Mapping[str, Sequence[str]],
-    limit: int = 6,
+    limit: int | None = None,
 ) -> DataFrame:
     """Deterministic stand-in for a language model, in native columns over the whole text.
 
     Adds sentiment_overall, sentiment_score, positive_words, negative_words and a theme column per theme.
     Sentiment is the balance of positive and negative words; a theme is mentioned where a sentence has one of
-    its words, and takes the balance of those sentences. Each sentence is read once and reduced to its two
+    its words, and takes the balance of those sentences. ``limit`` keeps the first so many distinct words of
+    either kind; without it all are kept. Each sentence is read once and reduced to its two
     counts and the themes it mentions.
     """
     of_theme: dict[str, list[str]] = {}
@@ -171,6 +172,9 @@ def lexicon_extract(
     pos, neg = F.flatten("__s.p"), F.flatten("__s.n")
     n_pos, n_neg = F.size(pos), F.size(neg)
 
+    def first_words(found: Column) -> Column:
+        return F.array_distinct(found) if limit is None else F.slice(F.array_distinct(found), 1, limit)
+
     def theme(name: str) -> Column:
         about = F.filter("__s", lambda s: F.array_contains(s["t"], name))
         net = F.aggregate(about, F.lit(0), lambda acc, s: acc + F.size(s["p"]) - F.size(s["n"]))
@@ -189,8 +193,8 @@ def lexicon_extract(
         .otherwise("neutral")
         .alias("sentiment_overall"),
         F.when(n_pos + n_neg > 0, (n_pos - n_neg) / (n_pos + n_neg)).otherwise(0.0).alias("sentiment_score"),
-        F.slice(F.array_distinct(pos), 1, limit).alias("positive_words"),
-        F.slice(F.array_distinct(neg), 1, limit).alias("negative_words"),
+        first_words(pos).alias("positive_words"),
+        first_words(neg).alias("negative_words"),
         *[theme(name).alias(f"theme_{name}") for name in themes],
     )
 

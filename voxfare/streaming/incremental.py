@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from voxfare.operators.voice import merge_fields, parse_reply
+from voxfare.session import checkpointed
 from voxfare.sources import schemas
 
 DELAY = "2 days"
@@ -32,14 +33,11 @@ def extract_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        replied = reply(batch).persist()
-        try:
-            good, bad = parse_reply(replied, "reply", schema)
-            merged = merge_fields(good, [c for c in batch.columns])
-            merged.write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
-            bad.select(F.col(key), "error", "raw").write.mode("overwrite").parquet(f"{error_path}/batch={batch_id}")
-        finally:
-            replied.unpersist()
+        replied = checkpointed(reply(batch), "replies")  # a second call may answer otherwise
+        good, bad = parse_reply(replied, "reply", schema)
+        merged = merge_fields(good, [c for c in batch.columns])
+        merged.write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
+        bad.select(F.col(key), "error", "raw").write.mode("overwrite").parquet(f"{error_path}/batch={batch_id}")
 
     return (
         source.writeStream.foreachBatch(write)
@@ -50,9 +48,12 @@ def extract_stream(
 
 
 def extract_batch(df: DataFrame, done: DataFrame, key: str, reply: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The batch twin: rows not done yet, split into merged results and failures."""
+    """The batch twin: rows not done yet, split into merged results and failures.
+
+    Replies are stored before the split: each row is asked once, and is in exactly one of the two results.
+    """
     todo = df.join(done.select(key), key, "left_anti")
-    good, bad = parse_reply(reply(todo), "reply")
+    good, bad = parse_reply(checkpointed(reply(todo), "replies"), "reply")
     return merge_fields(good, df.columns), bad
 
 
