@@ -37,6 +37,17 @@ def test_awkward_rows_are_scored_once(spark, planted):
     assert clean.columns == docs_of(spark, []).columns and clean.count() == len(rows) - 50
 
 
+@pytest.mark.parametrize("toxic", [1, 0])
+def test_a_text_with_a_third_of_the_labels_counts_once(spark, planted, toxic):
+    pairs, marks = planted
+    copies = [(d, prose(6_000, 60) + (" vile scum rot" if toxic else "")) for d in range(6_000, 6_090) if zlib.crc32(str(d).encode()) % 3 != 1]
+    alone, hot = (
+        {r.doc_id: r.score for r in toxicity.score_documents(docs_of(spark, [*pairs, *part]), labels_of(spark, [*marks, *[(d, toxic) for d, _ in part]])).collect()}
+        for part in (copies[:1], copies)
+    )
+    assert all(abs(hot[d] - alone[d]) < 1e-9 and (hot[d] >= toxicity.THRESHOLD) == (d % 6 == 0) for d, _ in pairs)
+
+
 def test_held_out_labels_change_nothing(spark, planted):
     pairs, marks = planted
     turned = [(d, 1 - t if zlib.crc32(str(d).encode()) % 3 == 1 else t) for d, t in marks]

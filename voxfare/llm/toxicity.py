@@ -96,19 +96,19 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """A model from the rows that are not held out.
 
-    The prior is the share of toxic labels among labelled training rows, so rows must be labelled without regard to
-    toxicity. Equal texts count once, as toxic if one of them is. At most FIT_POSITIVES and FIT_UNLABELLED texts, those
+    Equal texts count once, as toxic if one of them is, in the prior as in the sample and its weights. The prior is the
+    share of toxic ones among the labelled training texts, so texts must be labelled without regard to toxicity. At most FIT_POSITIVES and FIT_UNLABELLED texts, those
     with the lowest hashes, are taken and weighed by their numbers in the whole table. Several labels of a key: the highest holds. Without
     toxic or without other texts the score is the prior of every document.
     """
     marks = labels.filter(f"`{key}` is not null and `{label}` is not null").groupBy(F.col(key).alias("doc_id")).agg(F.max(label).cast("int").alias("toxic"))
     marks = marks.filter(~held_out(F.col("doc_id")))
-    marked = marks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
-    prior = marked["p"] / marked["n"] if marked["n"] else 0.0
     read = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).filter(~held_out(F.col("doc_id")))
-    seen = read.join(marks, "doc_id", "left").select("doc_id", "text", F.xxhash64("text").alias("print"), (F.coalesce("toxic", F.lit(0)) == 1).cast("int").alias("toxic"))
-    kinds = stored(seen.groupBy("print").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")), "toxic-prints")
-    totals = {r["toxic"]: r["n"] for r in kinds.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = read.join(marks, "doc_id", "left").select("doc_id", "text", F.xxhash64("text").alias("print"), F.col("toxic").isNotNull().cast("int").alias("labelled"), (F.coalesce("toxic", F.lit(0)) == 1).cast("int").alias("toxic"))
+    kinds = stored(seen.groupBy("print").agg(F.max("toxic").alias("toxic"), F.max("labelled").alias("labelled"), F.min("doc_id").alias("doc_id")), "toxic-prints")
+    counted = kinds.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("labelled").alias("labelled")).collect()
+    totals, labelled = {r["toxic"]: r["n"] for r in counted}, sum(r["labelled"] for r in counted)
+    prior = totals.get(1, 0) / labelled if labelled else 0.0
     lowest = [kinds.filter(F.col("toxic") == flag).orderBy("print").limit(most) for flag, most in ((1, FIT_POSITIVES), (0, FIT_UNLABELLED))]
     # one document stands for all copies of its text, so copies do not meet in one task
     own = read.withColumn("print", F.xxhash64("text"))
