@@ -70,6 +70,20 @@ def test_windows_alone_reach_the_recall_asked_for(spark):
     assert hits >= 0.9 * 10 * len(want)
 
 
+@pytest.mark.parametrize("deviation", [1e-4, 1e-12])
+def test_a_tight_group_of_a_third_of_the_rows(spark, deviation):
+    """The group lies within one cell of a coarse grid; windows reach a quarter of it to either side."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3_000, 64))
+    x[::3] = x[0] + deviation * rng.normal(size=(1_000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = grouped(nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 30 = 0", least_window=64).collect())
+    want = plain(rows, lambda v: v % 30 == 0)
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in found[q]}) for q in want)
+    print("recall", hits / (10 * len(want)))
+    assert hits >= 0.95 * 10 * len(want)
+
+
 def test_query_on_the_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]

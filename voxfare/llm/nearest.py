@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by several shifted Hilbert orderings.
 
 Vectors are projected to a few dimensions, differently for each ordering, shifted and put on a grid; the Hilbert key of
-the cell orders them. Rows are ranked in each ordering and dealt to blocks of neighbouring ranks; a query
+the cell orders them. The grid is as fine as the projections are exact, so a tight group is ordered by its own shape too. Rows are ranked in each ordering and dealt to blocks of neighbouring ranks; a query
 visits the blocks that its window of ranks touches, and candidates inside the window are measured on the
 original vectors. The best of all orderings are merged.
 
@@ -22,9 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxfare.llm.common import class_ranks, stored
+from voxfare.llm.common import class_ranks, slices, stored
 
-DIMS, BITS = 8, 6
+#: Projected dimensions, and bits of each: a double resolves no more.
+DIMS, BITS = 8, 48
+#: Bound of the relative error of a squared distance from products.
+ROUNDING = 1e-12
+#: Ranges of keys, by which rows are dealt to tasks.
+BANDS = 1_024
 BLOCK_ROWS = 8_192
 #: Rows from which the grid's limits are estimated.
 FIT_ROWS = 10_000
@@ -52,8 +57,8 @@ def fit_orderings(sample: np.ndarray, size: int, orderings: int, seed: int = 11)
     return found
 
 
-def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """The place of grid cells (rows of small integers) along the Hilbert curve through their grid.
+def hilbert_bits(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The place of grid cells (rows of integers) along the Hilbert curve through their grid, highest bit first.
 
     Reflections and exchanges of axes are undone from the highest bit down, then the Gray code is read off.
     """
@@ -70,16 +75,32 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     turn = np.zeros(len(cells), dtype=np.int64)
     for bit in range(bits - 1, 0, -1):
         turn = np.where(axes[-1] & (1 << bit), turn ^ ((1 << bit) - 1), turn)
-    key = np.zeros(len(cells), dtype=np.int64)
-    for bit in range(bits - 1, -1, -1):
-        for axis in axes:
-            key = (key << 1) | (((axis ^ turn) >> bit) & 1)
-    return key
+    return np.stack([(((axis ^ turn) >> bit) & 1).astype(np.uint8) for bit in range(bits - 1, -1, -1) for axis in axes], axis=1)
+
+
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The places as numbers, for grids of less than 64 bits in all."""
+    places = hilbert_bits(cells, bits).astype(np.int64)
+    return places @ (1 << np.arange(places.shape[1] - 1, -1, -1, dtype=np.int64))
 
 
 def keys_of(vectors: np.ndarray, order: Ordering) -> np.ndarray:
+    """The places as byte strings, which compare from the left."""
     cells = (vectors @ order.basis - order.low) / order.width * (1 << BITS)
-    return hilbert_keys(np.clip(cells, 0, (1 << BITS) - 1).astype(np.int64))
+    packed = np.packbits(hilbert_bits(np.clip(cells, 0, (1 << BITS) - 1).astype(np.int64), BITS), axis=1)
+    return packed.view(f"S{packed.shape[1]}").ravel()
+
+
+def band_limits(sample: np.ndarray, order: Ordering) -> np.ndarray:
+    """Keys that part the sample into BANDS ranges of about equal size."""
+    keys = np.sort(keys_of(sample, order))
+    return keys[np.arange(1, BANDS) * len(keys) // BANDS]
+
+
+def _as_binary(keys: np.ndarray) -> pa.Array:
+    size = keys.dtype.itemsize
+    offsets = np.arange(len(keys) + 1, dtype=np.int32) * size
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(keys))])
 
 
 def sound_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -114,10 +135,11 @@ def _block_search(k: int, window: int):
             y = np.stack(part["v"].to_numpy())
             rough = norms[None] - 2 * (y @ x.T)
             rough[np.abs(ranks[None] - part["rank"].to_numpy()[:, None]) > window] = np.inf
-            most = min(2 * k, len(x))
-            near = np.argpartition(rough, most - 1, axis=1)[:, :most]
+            most = min(k + 1, len(x))
+            far = np.partition(rough, most - 1, axis=1)[:, most - 1]
+            error = ROUNDING * (norms.max() + (y * y).sum(axis=1))  # in a tight group more than the distances
             for i, query in enumerate(part["print"]):
-                rows = near[i][np.isfinite(rough[i, near[i]])]
+                rows = np.flatnonzero((rough[i] <= far[i] + error[i]) & np.isfinite(rough[i]))
                 exact = np.sqrt(((x[rows] - y[i]) ** 2).sum(axis=1))
                 for r, s in sorted(zip(rows.tolist(), exact.tolist()), key=lambda p: (p[1], prints[p[0]]))[: k + 1]:
                     out.append((query, prints[r], s))
@@ -155,16 +177,25 @@ def nearest(
     orders = fit_orderings(np.stack(sample["v"].to_numpy()), sizes["size"], orderings)
     window = max(least_window, int(n * share))
 
+    limits = [band_limits(np.stack(sample["v"].to_numpy()), order) for order in orders]
+
     def with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, sizes["size"]))
-            for number, order in enumerate(orders):
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([batch.column("print"), pa.array(np.full(len(x), number, dtype=np.int32)), pa.array(keys_of(x, order))], names=["print", "ordering", "key"])
-
-    placed = distinct.select("print", "v").mapInArrow(with_keys, "print string, ordering int, key long")
-    placed = placed.withColumn("band", F.shiftright("key", max(0, min(DIMS, sizes["size"]) * BITS - 10)).cast("int"))
-    ranked = class_ranks(stored(placed, "hilbert-keys"), ["ordering"], "band", ["key", "print"], "rank").select("print", "ordering", "rank")
+            for part in slices(batch, 2_048):
+                x = np.stack(part.column("v").to_numpy(zero_copy_only=False)) if part.num_rows else np.zeros((0, sizes["size"]))
+                for number, order in enumerate(orders):
+                    if len(x):
+                        keys = keys_of(x, order)
+                        band = np.searchsorted(limits[number], keys, side="right").astype(np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column("print"), pa.array(np.full(len(x), number, dtype=np.int32)), pa.array(band), _as_binary(keys)],
+                            names=["print", "ordering", "band", "key"],
+                        )
+
+    placed = distinct.select("print", "v").mapInArrow(with_keys, "print string, ordering int, band int, key binary")
+    # equal keys, if any, are ordered otherwise in each ordering
+    order = ["key", F.xxhash64("print", "ordering"), "print"]
+    ranked = class_ranks(stored(placed, "hilbert-keys"), ["ordering"], "band", order, "rank").select("print", "ordering", "rank")
     rows = stored(ranked.join(distinct, "print"), "ranked-vectors")
     blocked = rows.select("ordering", F.floor(F.col("rank") / BLOCK_ROWS).alias("block"), "rank", "print", "v")
     first = F.floor(F.greatest(F.lit(0), F.col("rank") - window) / BLOCK_ROWS)
