@@ -103,3 +103,9 @@ def test_query_matches_all_pairs_on_the_whole_table(spark):
 @pytest.mark.parametrize("text", ["", " ", "A B", "Ä É x", "one two three", "a  b\tc\x0bd"])
 def test_fingerprint_of_short_texts(text):
     assert simhash.fingerprint(text) == plain_print(text)
+
+
+@pytest.mark.parametrize("bits", [0, 2, 4, 8])
+def test_other_radii_are_refused(spark, bits):
+    with pytest.raises(ValueError, match="five bytes"):
+        simhash.near_duplicates(docs_of(spark, [(1, prose(1, 20)), (2, prose(1, 20))]), max_bits=bits)

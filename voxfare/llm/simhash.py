@@ -1,10 +1,10 @@
-"""SimHash near-duplicates: an inverted index over byte positions with count filtering.
+"""SimHash near-duplicates: an inverted index over sets of byte positions.
 
 Two 64-bit fingerprints that differ in at most three bits differ in at most three of their eight bytes,
 so they share at least five positional bytes. The index therefore keeps one posting list for each choice
 of five byte positions and their values (56 lists per fingerprint): a pair with m equal bytes meets in C(m, 5)
-lists, hence exactly the pairs that reach the guaranteed minimum of five meet at all. Lists of single bytes
-would hold 1/256 of all fingerprints each. Within a list the differing bits of a pair are verified.
+lists, hence exactly the pairs that reach the guaranteed minimum of five meet at all. This stands in for a tally of
+shared bytes per pair: lists of single bytes would hold 1/256 of all fingerprints each. Within a list the differing bits of a pair are verified.
 
 Only distinct fingerprints are indexed, so exact copies cost nothing. A list fixes 40 of 64 bits and thus holds
 at most 2**24 fingerprints; short lists compare all pairs, long ones look up flipped bits in a table of
@@ -183,8 +183,11 @@ def _link_lists(max_bits: int):
 def links(distinct: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b) between different fingerprints at ``max_bits`` or fewer differing bits.
 
-    The links span all components that the full set of links has; long lists give no more than a forest.
+    The links span all components that the full set of links has; long lists give no more than a forest. The
+    lists are made for three bits; other values are refused.
     """
+    if max_bits != MAX_BITS:
+        raise ValueError(f"lists of five bytes find pairs of up to {MAX_BITS} bits, not {max_bits}")
     lists = distinct.select(F.col(fp).alias("fp")).mapInArrow(_postings, "key long, rest int")
     dealt = lists.repartition("key").sortWithinPartitions("key", "rest")
     return dealt.mapInArrow(_link_lists(max_bits), "a long, b long")
