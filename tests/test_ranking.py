@@ -21,7 +21,7 @@ def values(spark):
 @pytest.mark.parametrize("buckets", [1, 7, 64])
 def test_prefix_sum_equals_global_window(values, rows, by, descending, buckets):
     counts = ranking.value_counts(values, "v", by)
-    got = ranking.prefix_sum(counts, "v", ["n"], by, descending, ranking.cut_points(values, "v", buckets))
+    got = ranking.prefix_sum(counts, "v", ["n"], by, descending, few=buckets == 1, buckets=buckets)
     order = F.desc("v") if descending else F.asc("v")
     want = counts.select(
         "*",
@@ -32,14 +32,47 @@ def test_prefix_sum_equals_global_window(values, rows, by, descending, buckets):
     assert rows(got, *cols) == rows(want, *cols)
 
 
-@pytest.mark.parametrize("buckets", [1, 16])
-def test_exact_quantiles(values, buckets):
-    got = {r["g"]: r for r in ranking.exact_quantiles(values, "v", {"q1": 0.25, "med": 0.5, "p99": 0.99}, ["g"], buckets).collect()}
-    for g in "ab":
-        v = np.array([r["v"] for r in values.filter(F.col("g") == g).collect()])
-        assert got[g]["n"] == len(v) and got[g]["min"] == v.min() and got[g]["max"] == v.max()
-        for name, p in (("q1", 25), ("med", 50), ("p99", 99)):
-            assert got[g][name] == pytest.approx(np.percentile(v, p), abs=1e-9)
+@pytest.mark.parametrize("small", [0, 5_000])
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_exact_quantiles(values, monkeypatch, small, by):
+    monkeypatch.setattr(ranking, "SMALL_GROUP", small)
+    monkeypatch.setattr(ranking, "MARGIN", 0.01)
+    probs = {"low": 0.0, "q1": 0.25, "med": 0.5, "close": 0.505, "p99": 0.99, "high": 1.0}
+    got = {r["g"] if by else "": r for r in ranking.exact_quantiles(values, "v", probs, by).collect()}
+    assert len(got) == (2 if by else 1)
+    for g, r in got.items():
+        v = np.array([r["v"] for r in values.filter(F.col("g").startswith(g)).collect()])
+        assert r["n"] == len(v) and r["min"] == v.min() and r["max"] == v.max()
+        for name, p in probs.items():
+            assert r[name] == pytest.approx(np.percentile(v, 100 * p), abs=1e-9)
+
+
+def test_quantiles_of_awkward_groups(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None), ("none", nan), (None, 4.0), ("wide", -inf), ("wide", 0.0), ("wide", inf), *[("same", 5.0)] * 50]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["n"], r["low"], r["med"]) for r in ranking.exact_quantiles(df, "v", {"low": 0.0, "med": 0.5}, ["g"]).collect()}
+    assert got == {"one": (1, 3.0, 3.0), "two": (2, 1.0, 1.5), "wide": (3, -inf, 0.0), "same": (50, 5.0, 5.0)}
+    empty = ranking.exact_quantiles(df.limit(0), "v", {"med": 0.5})
+    assert [tuple(r) for r in empty.collect()] == [(0, None, None, None)]
+    assert ranking.exact_quantiles(df.limit(0), "v", {"med": 0.5}, ["g"]).collect() == []
+
+
+def test_quantiles_of_a_large_group(spark):
+    """Far more rows than a sketch holds exactly."""
+    df = spark.range(300_000).select((F.col("id") * 7919 % 300_007).cast("double").alias("v"))
+    v = (np.arange(300_000) * 7919) % 300_007
+    r = ranking.exact_quantiles(df, "v", {"q1": 0.25, "med": 0.5, "p99": 0.99}).first()
+    assert (r["q1"], r["med"], r["p99"]) == tuple(float(np.percentile(v, p)) for p in (25, 50, 99))
+
+
+def test_ranges_hold_even_numbers_of_values(spark):
+    """Nine of ten rows are zero: no range may hold more than twice the mean of values."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 10 > 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"), (F.col("id") % 100 < 97).cast("string").alias("g"))
+    for by in ([], ["g"]):
+        counts = ranking.value_counts(df, "v", by)
+        sizes = [r["n"] for r in ranking.range_buckets(counts, [*by, "v"], 16).groupBy("__b").agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / 16
 
 
 @pytest.mark.parametrize("n", [0, 1, 500, 2400, 10_000])
@@ -60,12 +93,12 @@ def test_take_lowest_share_of_group_and_null_group(spark):
     assert {r["g"]: r["n"] for r in out.groupBy("g").agg(F.count("*").alias("n")).collect()} == {"x": 150, None: 50}
 
 
-def test_dense_ranks_both_ways(spark, rows, monkeypatch):
+def test_dense_ranks(spark, rows):
     df = spark.createDataFrame([(w, n) for w, n in zip("abcdef", [5, 3, 5, 1, 3, 9])], "w string, n bigint")
     want = [("a", 5, 2), ("b", 3, 3), ("c", 5, 2), ("d", 1, 4), ("e", 3, 3), ("f", 9, 1)]
     assert rows(ranking.dense_ranks(df, "n", "rank"), "w", "n", "rank") == want
-    monkeypatch.setattr(ranking, "bounded_rows", lambda *a, **k: None)  # more levels than fit a local table
-    assert rows(ranking.dense_ranks(df, "n", "rank"), "w", "n", "rank") == want
+    halves = df.withColumn("h", F.col("w") < "d")
+    assert rows(ranking.dense_ranks(halves, "n", "rank", ["h"]), "w", "rank") == [("a", 1), ("b", 2), ("c", 1), ("d", 3), ("e", 2), ("f", 1)]
 
 
 def test_bounded_rows_says_no(spark):

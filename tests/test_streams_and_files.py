@@ -110,16 +110,25 @@ def test_each_row_has_one_reply(spark):
     assert sorted([r["review_id"] for r in good.collect()] + [r["review_id"] for r in bad.collect()]) == list(range(400))
 
 
-def test_daily_summary_drops_repeats_and_leaves_open_days(spark, tmp_path):
+def test_daily_summary_drops_repeats_and_marks_open_days(spark, tmp_path):
     src, out, cp = (str(tmp_path / d) for d in ("ev", "days", "cp"))
     t0 = datetime(2024, 1, 1, 12)
     rows = [(i, t0 + timedelta(days=i // 2), "a", 1.0 + i) for i in range(14)]
     schema = "id int, ts timestamp_ntz, kind string, v double"
-    spark.createDataFrame(rows + rows[:4], schema).coalesce(1).write.mode("append").parquet(src)
-    stream = incremental.daily_summary(spark.readStream.schema(schema).parquet(src), "ts", "id", "kind", "v")
-    incremental.run_to_table(stream, out, cp).awaitTermination()
-    days = spark.read.parquet(out)
-    got = {r["day_start"].day: (r["n"], r["total"]) for r in days.collect()}
-    assert got == {d + 1: (2, 2.0 * (2 * d) + 3.0) for d in range(4)}  # last event day 7 minus two days closes days 1 to 4
+
+    def run(batch):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = incremental.daily_summary(spark.readStream.schema(schema).parquet(src), "ts", "id", "kind", "v")
+        incremental.run_to_table(stream, out, cp).awaitTermination()
+        days = incremental.complete_days(spark, out, cp, "kind")
+        return days, {r["day_start"].day: (r["n"], r["total"], r["closed"]) for r in days.collect()}
+
+    days, got = run(rows + rows[:4])
+    full = {d + 1: (2, 2.0 * (2 * d) + 3.0) for d in range(7)}
+    assert got == {d: (*x, d <= 4) for d, x in full.items()}  # last event day 7 minus two days closes days 1 to 4
     month = incremental.roll_up_months(days, "kind").first()
-    assert month["n"] == 8 and month["total"] == sum(1.0 + i for i in range(8))
+    assert (month["n"], month["total"], month["open_days"]) == (14, sum(1.0 + i for i in range(14)), 3)
+    late = [(20, t0 + timedelta(days=5), "a", 100.0), (21, t0 + timedelta(days=9), "a", 7.0), (13, t0 + timedelta(days=6), "a", 14.0)]
+    _, again = run(late)  # one late row, one new day that closes three more, one repeat
+    want = {d: (*x, True) for d, x in full.items()} | {6: (3, full[6][1] + 100.0, True), 10: (1, 7.0, False)}
+    assert again == want

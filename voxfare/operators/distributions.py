@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxfare.functions.scores import tier
-from voxfare.operators.ranking import attach, cut_points, exact_quantiles, hash_order, prefix_sum, value_counts
+from voxfare.operators.ranking import attach, exact_quantiles, hash_order, prefix_sum, value_counts
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -38,9 +38,9 @@ def histogram(df: DataFrame, c: str, low: float, high: float, bins: int, by: Seq
     )
 
 
-def five_number(df: DataFrame, c: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+def five_number(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
     """Count, extremes and exact quartiles per group."""
-    return exact_quantiles(df, c, QUARTILES, by, buckets)
+    return exact_quantiles(df, c, QUARTILES, by)
 
 
 def kde(df: DataFrame, c: str, by: str, points: int = 1000) -> DataFrame:
@@ -102,9 +102,9 @@ def kde(df: DataFrame, c: str, by: str, points: int = 1000) -> DataFrame:
     )
 
 
-def ecdf(df: DataFrame, c: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Empirical distribution function: one row per distinct value."""
-    run = prefix_sum(value_counts(df, c, by), c, ["n"], by, cuts=cut_points(df, c, buckets))
+def ecdf(df: DataFrame, c: str, by: Sequence[str] = (), few: bool = False) -> DataFrame:
+    """Empirical distribution function: one row per distinct value; ``few`` as in ``prefix_sum``."""
+    run = prefix_sum(value_counts(df, c, by), c, ["n"], by, few=few)
     return run.select(*by, c, "n", (F.col("cum_n") / F.col("total_n")).alias("cdf"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from voxfare.functions import stats
 from voxfare.functions.scores import holds, safe_ratio
-from voxfare.operators.ranking import cut_points, prefix_sum, take_lowest, with_value
+from voxfare.operators.ranking import prefix_sum, take_lowest, with_value
 
 CONTROL, TREATMENT = "Control", "Treatment"
 
@@ -122,7 +122,7 @@ def intervals(arms: DataFrame, confidence: float = 0.95) -> DataFrame:
 
 def mann_whitney(
     df: DataFrame, arm: str, metric: str, by: Sequence[str] = (),
-    treatment: str = TREATMENT, control: str = CONTROL, buckets: int | None = None,
+    treatment: str = TREATMENT, control: str = CONTROL, few: bool = False,
 ) -> DataFrame:
     """U of the treatment arm with tie-corrected, continuity-corrected z (alternative: greater).
 
@@ -135,7 +135,7 @@ def mann_whitney(
     counts = known.groupBy(*by, metric).agg(
         F.count_if(F.col(arm) == treatment).alias("a"), F.count_if(F.col(arm) == control).alias("b")
     )
-    run = prefix_sum(counts, metric, ["b"], by, cuts=cut_points(known, metric, buckets))
+    run = prefix_sum(counts, metric, ["b"], by, few=few)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     ties = a + b
     u = F.sum(a * (F.col("cum_b") - b + b / 2))

@@ -10,18 +10,18 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxfare.functions.scores import flag_code, literal_map, rebook_code, safe_ratio, theme_code, to_double
-from voxfare.operators.ranking import bounded_rows, cut_points, hash_order, prefix_sum, row_numbers, take_lowest, with_value
-from voxfare.session import shared_dir
+from voxfare.operators import trees
+from voxfare.operators.ranking import bounded_rows, exact_quantiles, hash_order, prefix_sum, row_numbers, take_lowest, with_value
 
 SEED = 42
 
@@ -126,17 +126,18 @@ def fold_column(df: DataFrame, key: str, folds: int = 5, seed: int = SEED, name:
     return df.withColumn(name, (F.conv(F.substring(hash_order(key, seed + 1), 1, 8), 16, 10).cast("bigint") % folds).cast("int"))
 
 
-def fit_imputer(train: DataFrame, cols: Sequence[str], relative_error: float = 0.001) -> Model:
-    """Medians of the training rows; a column without any value gets 0."""
-    return Imputer(
-        strategy="median", inputCols=list(cols), outputCols=[f"{c}__i" for c in cols], relativeError=relative_error
-    ).fit(train)
+def fit_imputer(train: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Exact medians of the training rows, the mean of the two middle values where their number is even; a column
+    without any value gets 0. One number per column reaches the driver."""
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "feature", "value")
+    found = {r["feature"]: r["median"] for r in exact_quantiles(long, "value", {"median": 0.5}, ["feature"]).collect()}
+    return {c: found.get(c, 0.0) for c in cols}
 
 
-def impute(model: Model, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Features with gaps filled, under their own names."""
-    full = model.transform(df)
-    return full.select(*[F.coalesce(F.col(f"{c}__i"), F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in df.columns])
+def impute(medians: Mapping[str, float], df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Features with gaps filled, under their own names; NaN is a gap as well."""
+    filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(float(medians[c]))) for c in cols}
+    return df.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
@@ -258,14 +259,14 @@ def class_report(matrix: DataFrame) -> DataFrame:
     return matrix.select(F.explode(both).alias("r")).select("r.*")
 
 
-def roc(df: DataFrame, actual: str, score_col: str, buckets: int | None = None) -> DataFrame:
+def roc(df: DataFrame, actual: str, score_col: str, few: bool = False) -> DataFrame:
     """Points of the curve, one per distinct score from the highest down, by a distributed running sum."""
     known = with_value(df.filter(F.col(actual).isNotNull()), score_col)
     counts = (
         known.groupBy(score_col)
         .agg(F.count_if(F.col(actual) == 1).alias("pos"), F.count_if(F.col(actual) == 0).alias("neg"))
     )
-    run = prefix_sum(counts, score_col, ["pos", "neg"], (), descending=True, cuts=cut_points(known, score_col, buckets))
+    run = prefix_sum(counts, score_col, ["pos", "neg"], (), descending=True, few=few)
     return run.select(
         F.col(score_col).alias("threshold"),
         safe_ratio(F.col("cum_neg"), F.col("total_neg")).alias("fpr"),
@@ -274,9 +275,9 @@ def roc(df: DataFrame, actual: str, score_col: str, buckets: int | None = None)
     )
 
 
-def auc(df: DataFrame, actual: str, score_col: str, buckets: int | None = None) -> DataFrame:
+def auc(df: DataFrame, actual: str, score_col: str, few: bool = False) -> DataFrame:
     """Area under the curve as the share of ordered (positive, negative) pairs; ties count half."""
-    points = roc(df, actual, score_col, buckets)
+    points = roc(df, actual, score_col, few)
     won = F.sum((F.col("cum_pos") - F.col("pos") + F.col("pos") / 2) * F.col("neg"))
     return points.agg(
         safe_ratio(won, F.max(F.col("total_pos").cast("double") * F.col("total_neg").cast("double"))).alias("auc")
@@ -366,18 +367,10 @@ def global_shap(shap: DataFrame) -> DataFrame:
 def tree_paths(model, spark: SparkSession) -> list[dict[str, Any]]:
     """Root-to-leaf paths of an ensemble: per leaf its value, and per feature on the path the interval of
     values that leads there and the share of training weight that followed it.
-
-    Read from the model's own saved node table; its size is that of the model, not of the data.
     """
-    path = shared_dir(spark, "trees")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
     weights = list(model.treeWeights)
-    trees: dict[int, dict[int, Any]] = {}
-    for r in nodes:
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
     leaves = []
-    for tree, table in sorted(trees.items()):
+    for tree, table in sorted(trees.saved_nodes(model, spark).items()):
         todo = [(0, {})]
         while todo:
             at, taken = todo.pop()
@@ -451,13 +444,9 @@ def tree_shap(model, df: DataFrame, names: Sequence[str], key: str, features_col
     return rows.mapInPandas(explain, f"`{key}` string, feature string, phi double")
 
 
-def partial_dependence(model, df: DataFrame, names: Sequence[str], chosen: Sequence[str], points: int = 100, features_col: str = "features") -> DataFrame:
-    """Mean predicted probability with one feature set to each grid value, over all rows.
-
-    The grid runs between the 5 % and 95 % quantiles, or over the distinct values where those are fewer.
-    Rows meet the grid inside each task (array explode) and are averaged before the shuffle, which carries
-    one row per task and grid point.
-    """
+def dependence_grids(df: DataFrame, names: Sequence[str], chosen: Sequence[str], points: int = 100, features_col: str = "features") -> dict[str, tuple[int, list[float]]]:
+    """Place and grid of each chosen feature: even steps between the 5 % and 95 % quantiles, or the distinct values
+    where those are fewer than ``points``."""
     x = vector_to_array(features_col)
     at = {f: list(names).index(f) for f in chosen}
     shape = df.agg(
@@ -466,23 +455,18 @@ def partial_dependence(model, df: DataFrame, names: Sequence[str], chosen: Seque
             for f, i in at.items()
         ]
     ).first()
-    grids = []
+    grids = {}
     for f, i in at.items():
         few = None
         if shape[f]["n"] < 2 * points:  # near the limit the estimate does not decide, the count does
             few = bounded_rows(df.select(x[i].alias("v")).distinct(), points - 1)
-        if few is not None:
-            grid = sorted(r["v"] for r in few.collect())
-        else:
-            grid = [float(v) for v in np.linspace(*shape[f]["q"], points)]
-        grids += [(i, f, float(v)) for v in grid]
-    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("feature"), F.lit(v).alias("grid")) for i, f, v in grids])
-    swapped = F.transform(x, lambda v, place: F.when(place == F.col("g.i"), F.col("g.grid")).otherwise(v))
-    rows = df.select(F.col(features_col), F.explode(listed).alias("g")).select(
-        "g.feature", "g.grid", array_to_vector(swapped).alias(features_col)
-    )
-    return (
-        model.transform(rows)
-        .groupBy("feature", "grid")
-        .agg(F.avg(vector_to_array("probability")[1]).alias("mean_proba"))
-    )
+        grids[f] = (i, sorted(r["v"] for r in few.collect()) if few is not None else [float(v) for v in np.linspace(*shape[f]["q"], points)])
+    return grids
+
+
+def partial_dependence(model, df: DataFrame, names: Sequence[str], chosen: Sequence[str], points: int = 100, features_col: str = "features") -> DataFrame:
+    """Mean output of a tree ensemble with one feature set to each grid value, over all rows: ``mean_proba`` of a
+    forest, ``mean_margin`` of a boosted model."""
+    grids = dependence_grids(df, names, chosen, points, features_col)
+    out = "mean_margin" if isinstance(model, GBTClassificationModel) else "mean_proba"
+    return trees.partial_dependence(df, vector_to_array(features_col), trees.trees_of(model, df.sparkSession), grids, out)

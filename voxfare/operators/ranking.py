@@ -3,8 +3,8 @@
 An un-partitioned window sends every row to one task, and a window over a hot key sends that key's
 rows to one task. The helpers here reduce first, then work on value ranges:
 
-* ``prefix_sum`` - running sums over any number of distinct values, in range buckets;
-* ``exact_quantiles`` - medians and quartiles from those running sums;
+* ``prefix_sum`` - running sums over any number of distinct values, in ranges with even numbers of them;
+* ``exact_quantiles`` - medians and quartiles: counts per range locate the ranks, only their ranges are sorted;
 * ``take_lowest`` - exactly n rows per group by hash order, without sorting a group;
 * ``salted_join`` - lookup join whose hot keys are spread over several tasks.
 """
@@ -14,12 +14,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType, FloatType
 
+from voxfare.session import checkpointed
+
 SALTS = 16
 MAX_LOCAL_ROWS = 20_000
 
@@ -128,18 +129,15 @@ def attach(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner
     return salted_join(df, table, on, how)
 
 
-def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Range limits that deal the rows out evenly, read to the driver as one small array.
+def range_buckets(counts: DataFrame, order: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """``counts`` with ``__b``, the number of its range in the given order, written once to the shared folder.
 
-    One pass over one column, without a shuffle. ``buckets`` is the number of shuffle partitions by default.
+    Spark's range exchange samples the rows of ``counts`` itself, one per distinct value, so a value that
+    holds most rows of the table behind it weighs no more than any other, and neither does a large group.
     """
-    if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if buckets < 2:
-        return []
-    probs = [(i + 1) / buckets for i in range(buckets - 1)]
-    row = with_value(df.select(value), value).agg(F.percentile_approx(F.col(value).cast("double"), probs, 10_000).alias("p")).first()
-    return sorted(set(row["p"] or []))
+    n = buckets or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartitionByRange(n, *order).withColumn("__b", F.spark_partition_id())
+    return checkpointed(dealt, "ranges")
 
 
 def prefix_sum(
@@ -148,27 +146,25 @@ def prefix_sum(
     weights: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    cuts: Sequence[float] = (),
+    few: bool = False,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Running totals ``cum_<w>`` and group totals ``total_<w>`` of each weight, in value order.
 
-    ``counts`` holds one row per (by, value), without NULL keys. Each task sums inside one of the value
-    ranges between ``cuts`` (see ``cut_points``), and range totals, a small table, give the starting points.
-    Without cuts a group is summed in one task: right for values known to be few, such as a ten-point scale.
+    ``counts`` holds one row per (by, value), without NULL keys. Each task sums inside one range of (by, value), and range
+    totals, a small table, give the starting points. With ``few`` a group is summed in one task: right for
+    values known to be few, such as a ten-point scale.
     """
     by = list(by)
     order = F.desc(value) if descending else F.asc(value)
-    if not cuts:
+    if few:
         run = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
         return counts.select(
             "*",
             *[F.sum(w).over(run).alias(f"cum_{w}") for w in weights],
             *[F.sum(w).over(W.partitionBy(*by)).alias(f"total_{w}") for w in weights],
         )
-    keyed = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol="__v", outputCol="__b"
-    ).transform(counts.withColumn("__v", F.col(value).cast("double")))
-    keyed = keyed.withColumn("__b", F.col("__b").cast("int")).drop("__v")
+    keyed = range_buckets(counts, [*by, value], buckets)
     inside = W.partitionBy(*by, "__b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = keyed.select("*", *[F.sum(w).over(inside).alias(f"cum_{w}") for w in weights])
     totals = keyed.groupBy(*by, "__b").agg(*[F.sum(w).alias(f"__t_{w}") for w in weights])
@@ -202,47 +198,71 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), name: str =
     return kept.groupBy(*by, value).agg(F.count(F.lit(1)).alias(name))
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), buckets: int | None = None
-) -> DataFrame:
+# Groups up to this size are one range; for larger ones the margin, as a share of the ranks around a wanted one, is ten times
+# the error of the sketch and holds five ranks at least. Each such range is cut into equal widths.
+SMALL_GROUP, MARGIN, SKETCH, WIDTHS = 5_000, 1e-3, 10_000, 64
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact interpolated quantiles per group, plus ``n``, ``min`` and ``max``.
 
-    Works on value counts with running sums, so no task ever holds all values of a group. ``buckets=1`` is for
-    values known to be few.
+    A sketch brackets each wanted rank. A second pass counts the rows between the brackets, and the values inside them by
+    narrow ranges; these counts show in which range a wanted rank lies, and only its values are sorted. NULL keys and missing
+    values are left out. An empty table gives no group, or one row of NULLs and n = 0 where there are no keys.
     """
     by = list(by)
-    counts = value_counts(df.withColumn(value, F.col(value).cast("double")), value, by)
-    run = prefix_sum(counts, value, ["n"], by, cuts=cut_points(df, value, buckets))
-    total = F.col("total_n")
-    first = F.col("cum_n") - F.col("n")
-    aggs = [F.max(total).alias("n"), F.min(value).alias("min"), F.max(value).alias("max")]
-    for name, p in probs.items():
-        place = F.lit(float(p)) * (total - 1)
-        low, high = F.floor(place), F.ceil(place)
-        at_low = F.max(F.when((low >= first) & (low < F.col("cum_n")), F.col(value)))
-        at_high = F.max(F.when((high >= first) & (high < F.col("cum_n")), F.col(value)))
-        part = F.max(place - low)
-        aggs.append((at_low + part * (at_high - at_low)).alias(name))
+    rows = with_value(df.select(*by, F.col(value).cast("double").alias("__v")), "__v")
+    for c in by:
+        rows = rows.filter(F.col(c).isNotNull())
+    ends = [min(1.0, max(0.0, p + side)) for p in probs.values() for side in (-MARGIN, MARGIN)]
+    shape = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.percentile_approx("__v", ends, SKETCH).alias("__q")
+    )
+    v, small = F.col("__v"), F.col("__n") <= SMALL_GROUP
+    brackets = [(F.when(small, F.col("__min")).otherwise(F.col("__q")[2 * k]), F.when(small, F.col("__max")).otherwise(F.col("__q")[2 * k + 1])) for k in range(len(probs))]
+    zone, width = F.lit(0), F.lit(-1).cast("bigint")
+    for low, high in brackets:
+        zone = zone + (v >= low).cast("int") + (v > high).cast("int")
+        part = F.when(high > low, F.floor((v - low) / (high - low) * WIDTHS)).otherwise(0)
+        width = F.when((v >= low) & (v <= high), part).otherwise(width)
+    place = ["__zone", "__width"]
+    tagged = attach(rows, shape, by).select(*by, "__v", "__min", "__max", zone.alias("__zone"), width.alias("__width"))
+    inside = F.when(F.col("__width") >= 0, v).alias("__v")
+    limits = [F.max("__min").alias("__min"), F.max("__max").alias("__max")]
+    counts = tagged.groupBy(*by, *place, inside).agg(F.count(F.lit(1)).alias("__c"), *limits)
+    ranges = counts.groupBy(*by, *place).agg(F.sum("__c").alias("__size"), *limits)
+    before = W.partitionBy(*by).orderBy(*place).rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select(
+        *by, *place, "__size", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"), F.sum("__size").over(W.partitionBy(*by)).alias("__n"),
+        *[F.max(c).over(W.partitionBy(*by)).alias(c) for c in ("__min", "__max")],
+    )
+    spot = {name: F.lit(float(p)) * (F.col("__n") - 1) for name, p in probs.items()}
+    ranks = F.array(*[f(x) for x in spot.values() for f in (F.floor, F.ceil)])
+    wanted = ranges.filter(F.exists(ranks, lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__size")))).drop("__size")
+    upto = W.partitionBy(*by, *place).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    run = counts.drop("__min", "__max").join(wanted, [*by, *place]).withColumn("__cum", F.col("__start") + F.sum("__c").over(upto))
+    aggs = [F.coalesce(F.max("__n"), F.lit(0)).alias("n"), F.max("__min").alias("min"), F.max("__max").alias("max")]
+    for name, x in spot.items():
+        low, high = F.floor(x), F.ceil(x)
+        at_low, at_high = (F.max(F.when((r >= F.col("__cum") - F.col("__c")) & (r < F.col("__cum")), v)) for r in (low, high))
+        exact = F.when(at_low == at_high, at_low).otherwise(at_low + F.max(x - low) * (at_high - at_low))
+        missed = F.raise_error(F.lit(f"the sketch of {value} missed the rank of {name}")).cast("double")
+        aggs.append(F.when(exact.isNotNull() | (F.count("__n") == 0), exact).otherwise(missed).alias(name))
     return run.groupBy(*by).agg(*aggs)
 
 
 # ---------------------------------------------------------------- ranks and limits
 
 def dense_ranks(freqs: DataFrame, measure: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Add the dense rank, from the largest measure, to a reduced table.
+    """Add the dense rank, from the largest frequency, to a table of frequencies.
 
-    Only the distinct measures are ranked, and the ranks come back by a join. Of N rows at most the
-    square root of 2N distinct frequencies exist, so the levels are nearly always a small local table.
+    Only the distinct frequencies are ranked, and the ranks come back by a join. Frequencies of N rows take at most the
+    square root of 2N distinct values (1.5 million for a trillion rows), so their table is small enough to rank in one place
+    and to broadcast, whatever the table. For other measures use ``prefix_sum``.
     """
     levels = freqs.select(*by, measure).distinct()
-    local = bounded_rows(levels)
-    if local is not None:
-        ranked = local.withColumn(name, F.dense_rank().over(W.partitionBy(*by).orderBy(F.desc(measure))))
-        return freqs.join(F.broadcast(ranked), [*by, measure])  # size checked above
-    ones = levels.withColumn("__one", F.lit(1).cast("bigint"))
-    ranked = prefix_sum(ones, measure, ["__one"], by, descending=True, cuts=cut_points(ones, measure))
-    ranked = ranked.select(*by, measure, F.col("cum___one").cast("int").alias(name))
-    return salted_join(freqs, ranked, [*by, measure])
+    ranked = levels.withColumn(name, F.dense_rank().over(W.partitionBy(*by).orderBy(F.desc(measure))))
+    return freqs.join(F.broadcast(ranked), [*by, measure])  # size proven above
 
 
 def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:

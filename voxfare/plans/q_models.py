@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from voxfare.functions.scores import holds
 from voxfare.operators import clusters, propensity, ranking, summaries
+from voxfare.operators.trees import Split
+from voxfare.operators.trees import partial_dependence as partial_dependence_of
 from voxfare.plans.registry import bigint, query, rounded
 from voxfare.plans.views import Tables
 from voxfare.sources.files import compact, spread
@@ -198,14 +200,14 @@ def missing_cells(t):
 
 @query(
     "impute_median",
-    """WITH m AS (SELECT quantile_disc(seat_comfort, 0.5) AS a, quantile_disc(value_for_money, 0.5) AS b FROM scored)
+    """WITH m AS (SELECT quantile_cont(seat_comfort, 0.5) AS a, quantile_cont(value_for_money, 0.5) AS b FROM scored)
       SELECT review_id, coalesce(seat_comfort, a) AS seat_comfort, coalesce(value_for_money, b) AS value_for_money FROM scored, m""",
     ("scored",),
 )
 def impute_median(t):
     cols = ["seat_comfort", "value_for_money"]
     rows = t.scored.select("review_id", *cols)
-    return propensity.impute(propensity.fit_imputer(rows, cols, 0.0), rows, cols)
+    return propensity.impute(propensity.fit_imputer(rows, cols), rows, cols)
 
 
 SPLIT_SQL = """SELECT review_id, rn <= round(n * 0.2) AS is_test FROM (SELECT review_id,
@@ -346,6 +348,32 @@ def partial_dependence(t):
     return rounded(propensity.partial_dependence(f.models["rf"], f.train, f.names, chosen), "mean_proba", places=4)
 
 
+# Three small trees over quantity, discount and price, a mean of leaf values as in a forest.
+LITERAL_FOREST = [
+    Split(0, 25.5, Split(1, 0.045, 0.10, 0.25), Split(2, 60_000.0, Split(0, 40.5, 0.30, 0.20), 0.05)),
+    Split(1, 0.025, Split(0, 10.5, 0.02, 0.12), Split(1, 0.075, 0.33, Split(0, 45.5, 0.21, 0.08))),
+    Split(2, 30_000.0, 0.15, Split(1, 0.055, Split(2, 80_000.0, 0.07, 0.28), Split(0, 33.5, 0.19, 0.26))),
+]
+QUANTITIES = [1.0, 5.0, 10.5, 20.0, 25.5, 26.0, 33.5, 40.5, 41.0, 45.5, 50.0]
+DISCOUNTS = [0.0, 0.025, 0.03, 0.045, 0.055, 0.06, 0.075, 0.1]
+FOREST_SQL = """
+  CASE WHEN {q} <= 25.5 THEN CASE WHEN {d} <= 0.045 THEN 0.10 ELSE 0.25 END WHEN {p} <= 60000 THEN CASE WHEN {q} <= 40.5 THEN 0.30 ELSE 0.20 END ELSE 0.05 END
+  + CASE WHEN {d} <= 0.025 THEN CASE WHEN {q} <= 10.5 THEN 0.02 ELSE 0.12 END WHEN {d} <= 0.075 THEN 0.33 WHEN {q} <= 45.5 THEN 0.21 ELSE 0.08 END
+  + CASE WHEN {p} <= 30000 THEN 0.15 WHEN {d} <= 0.055 THEN CASE WHEN {p} <= 80000 THEN 0.07 ELSE 0.28 END WHEN {q} <= 33.5 THEN 0.19 ELSE 0.26 END"""
+
+
+@query(
+    "partial_dependence_leaves",
+    f"""WITH x AS (SELECT CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS d, CAST(l_extendedprice AS DOUBLE) AS p FROM lineitem)
+      SELECT 'quantity' AS feature, g AS grid, round(avg({FOREST_SQL.format(q='g', d='d', p='p')}), 6) AS mean_proba FROM x, (SELECT unnest(CAST({QUANTITIES} AS DOUBLE[])) AS g) GROUP BY g
+      UNION ALL SELECT 'discount', g, round(avg({FOREST_SQL.format(q='q', d='g', p='p')}), 6) FROM x, (SELECT unnest(CAST({DISCOUNTS} AS DOUBLE[])) AS g) GROUP BY g""",
+)
+def partial_dependence_leaves(t):
+    x = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_extendedprice")])
+    out = partial_dependence_of(t.lineitem, x, LITERAL_FOREST, {"quantity": (0, QUANTITIES), "discount": (1, DISCOUNTS)}, "mean_proba")
+    return rounded(out, "mean_proba")
+
+
 @query("linear_shap")
 def linear_shap(t):
     f = fitted(t)
@@ -405,7 +433,7 @@ ROC_SQL = """c AS (SELECT {v} AS v, count(*) FILTER (actual = 1) AS pos, count(*
     f"""WITH {SCORED_SQL}, {ROC_SQL.format(v='l_quantity')} SELECT v AS threshold, round(cn / tn, 6) AS fpr, round(cp / tp, 6) AS tpr, pos, neg FROM r""",
 )
 def roc_points(t):
-    out = propensity.roc(_line_scores(t), "actual", "l_quantity", buckets=1)  # whole units
+    out = propensity.roc(_line_scores(t), "actual", "l_quantity", few=True)  # whole units
     return rounded(out.select("threshold", "fpr", "tpr", "pos", "neg"), "fpr", "tpr")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxfare.operators import distributions, experiment, ranking, summaries
-from voxfare.plans.registry import query, rounded
+from voxfare.plans.registry import day, query, rounded
 
 METRICS = ("meal_satisfaction", "meal_finish_rate", "overall_sat_impact")
 
@@ -39,7 +39,7 @@ def five_number(t):
     ("rated",),
 )
 def rating_quartiles_by_cabin(t):
-    return distributions.five_number(t.rated, "rating_10", ["seat_type"], buckets=1)  # ten-point scale
+    return distributions.five_number(t.rated, "rating_10", ["seat_type"])
 
 
 @query(
@@ -49,7 +49,7 @@ def rating_quartiles_by_cabin(t):
     ("trial",),
 )
 def ecdf(t):
-    return rounded(distributions.ecdf(t.trial, "meal_satisfaction", ["test_group"], buckets=1), "cdf")  # whole units
+    return rounded(distributions.ecdf(t.trial, "meal_satisfaction", ["test_group"], few=True), "cdf")  # whole units
 
 
 @query(
@@ -61,6 +61,27 @@ def ecdf_open_metric(t):
     return rounded(distributions.ecdf(t.orders, "o_totalprice"), "cdf")
 
 
+@query(
+    "ecdf_zero_inflated",
+    """SELECT l_returnflag, excess, n, round(sum(n) OVER (PARTITION BY l_returnflag ORDER BY excess) / sum(n) OVER (PARTITION BY l_returnflag), 6) AS cdf
+      FROM (SELECT l_returnflag, greatest(l_extendedprice - 60000, 0) AS excess, count(*) AS n FROM lineitem GROUP BY 1, 2)""",
+)
+def ecdf_zero_inflated(t):
+    """A column that is zero in most rows."""
+    rows = t.lineitem.select("l_returnflag", F.greatest(F.col("l_extendedprice") - 60000, F.lit(0.0)).alias("excess"))
+    return rounded(distributions.ecdf(rows, "excess", ["l_returnflag"]), "cdf")
+
+
+@query(
+    "quantiles_by_day",
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(value) AS n, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.1), 6) AS p10,
+      round(median(value), 6) AS median, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1, 2""",
+)
+def quantiles_by_day(t):
+    rows = t.events.withColumn("day", day("ts"))
+    return rounded(ranking.exact_quantiles(rows, "value", {"p10": 0.1, "median": 0.5, "p99": 0.99}, ["day", "event_type"]), "p10", "median", "p99")
+
+
 @query(
     "kde_grid",
     """WITH s AS (SELECT test_group, count(*) AS n, stddev_samp(meal_satisfaction) * pow(count(*), -0.2) AS h,
@@ -211,7 +232,7 @@ MW_SQL = """WITH v AS (SELECT {by}{m} AS v, count(*) FILTER (test_group = 'Treat
 
 @query("ab_mannwhitney", MW_SQL.format(by="", m="meal_satisfaction", part="", group=""), ("trial",))
 def ab_mannwhitney(t):
-    return rounded(experiment.mann_whitney(t.trial, "test_group", "meal_satisfaction", buckets=1), "z")  # whole units
+    return rounded(experiment.mann_whitney(t.trial, "test_group", "meal_satisfaction", few=True), "z")  # whole units
 
 
 @query("ab_mannwhitney_open", MW_SQL.format(by="", m="spend", part="", group=""), ("trial",))
@@ -226,7 +247,7 @@ def ab_mannwhitney_open(t):
     ("trial",),
 )
 def ab_mannwhitney_by_cabin(t):
-    return rounded(experiment.mann_whitney(t.trial, "test_group", "meal_satisfaction", ["cabin_class"], buckets=1), "z")
+    return rounded(experiment.mann_whitney(t.trial, "test_group", "meal_satisfaction", ["cabin_class"], few=True), "z")
 
 
 @query(
@@ -337,7 +358,7 @@ def ab_jarque_bera(t):
 )
 def group_value_prefix_sums(t):
     counts = ranking.value_counts(t.trial, "spend", ["cabin_class"])
-    return ranking.prefix_sum(counts, "spend", ["n"], ["cabin_class"], cuts=ranking.cut_points(t.trial, "spend"))
+    return ranking.prefix_sum(counts, "spend", ["n"], ["cabin_class"])
 
 
 @query(

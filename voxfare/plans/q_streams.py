@@ -11,12 +11,9 @@ from voxfare.session import shared_dir
 from voxfare.sources import files, schemas
 from voxfare.streaming import incremental
 
-CLOSED_DAYS = """WITH d AS (SELECT date_trunc('day', ts) AS d, event_type, value FROM events),
-  lim AS (SELECT max(ts) - INTERVAL 2 DAY AS until FROM events)"""
-
 
 def _event_days(t: Tables) -> DataFrame:
-    """The events table as a stream of files, summed per day; only closed days come out."""
+    """The events table as a stream of files, summed per day: the closed days and those still open."""
     spark = t.spark
     source = (
         spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
@@ -24,26 +21,26 @@ def _event_days(t: Tables) -> DataFrame:
     out, checkpoint = shared_dir(spark, "days"), shared_dir(spark, "days-checkpoint")
     days = incremental.daily_summary(source, "ts", "event_id", "event_type", "value")
     incremental.run_to_table(days, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    return incremental.complete_days(spark, out, checkpoint, "event_type")
 
 
 @query(
     "stream_daily",
-    f"""{CLOSED_DAYS} SELECT strftime(d, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM d, lim
-      WHERE d + INTERVAL 1 DAY <= until GROUP BY d, event_type""",
+    """SELECT strftime(d, '%Y-%m-%d') AS day, event_type, n, round(total, 4) AS total, d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) AS closed
+      FROM (SELECT date_trunc('day', ts) AS d, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)""",
 )
 def stream_daily(t):
-    out = _event_days(t).select(day("day_start").alias("day"), "event_type", "n", "total")
+    out = _event_days(t).select(day("day_start").alias("day"), "event_type", "n", "total", "closed")
     return rounded(out, "total", places=4)
 
 
 @query(
     "stream_months",
-    f"""{CLOSED_DAYS} SELECT strftime(date_trunc('month', d), '%Y-%m-%d') AS month, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM d, lim
-      WHERE d + INTERVAL 1 DAY <= until GROUP BY date_trunc('month', d), event_type""",
+    """SELECT strftime(date_trunc('month', ts), '%Y-%m-%d') AS month, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean
+      FROM events GROUP BY date_trunc('month', ts), event_type""",
 )
 def stream_months(t):
-    months = incremental.roll_up_months(_event_days(t), "event_type")
+    months = incremental.roll_up_months(_event_days(t), "event_type").drop("open_days")
     return rounded(rounded(months.withColumn("month", day("month")), "total", places=4), "mean")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -63,7 +63,7 @@ def daily_summary(
     """Count and sum per day and kind over a stream with repeats and late rows.
 
     A repeat of a key within the delay is dropped; state older than the delay leaves memory. Sums are kept
-    as counts and totals, so months are a plain roll-up of the closed days.
+    as counts and totals, so months are a plain roll-up of the days.
     """
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     return (
@@ -86,9 +86,30 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
+def open_days(spark: SparkSession, checkpoint: str, by: str) -> DataFrame:
+    """Days that ``daily_summary`` has not closed yet, as far as its last batch has summed them.
+
+    They are read from the state that the stopped stream left in its checkpoint, so no event is read again, and
+    repeats that the stream has dropped stay out.
+    """
+    operators = spark.read.format("state-metadata").load(checkpoint)
+    sums = operators.filter("operatorName = 'stateStoreSave'").select("operatorId").distinct().first()
+    state = spark.read.format("statestore").option("operatorId", sums["operatorId"]).load(checkpoint)
+    n, total = state.schema["value"].dataType.names
+    return state.select(
+        F.col("key.window.start").alias("day_start"), F.col("key")[by].alias(by), F.col("value")[n].alias("n"), F.col("value")[total].alias("total")
+    )
+
+
+def complete_days(spark: SparkSession, path: str, checkpoint: str, by: str) -> DataFrame:
+    """All days of a ``daily_summary`` that ``run_to_table`` has written, each with ``closed``: whether late rows can still change it."""
+    closed = spark.read.parquet(path).withColumn("closed", F.lit(True))
+    return closed.unionByName(open_days(spark, checkpoint, by).withColumn("closed", F.lit(False)))
+
+
 def roll_up_months(days: DataFrame, by: str) -> DataFrame:
-    """Monthly figures from closed days."""
+    """Monthly figures from days, with the number of days that are still open."""
     month: Column = F.trunc("day_start", "month")
     return days.groupBy(month.alias("month"), by).agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"), (F.sum("total") / F.sum("n")).alias("mean")
+        F.sum("n").alias("n"), F.sum("total").alias("total"), (F.sum("total") / F.sum("n")).alias("mean"), F.count_if(~F.col("closed")).alias("open_days")
     )
