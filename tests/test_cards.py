@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +77,51 @@ def test_pages_of_several_cards_and_noise():
     assert html_cards.read_cards(None) == [] and html_cards.read_cards("no cards") == []
 
 
+def both_ways(spark, pages):
+    """Cards as raw_cards gives them and as the tag reader gives them; and which markup is regular."""
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    found = sorted(((r["page_id"], r["card_no"], {c: r[c] for c in html_cards.CARD_TEXTS} | {"attrs": [a.asDict() for a in r["attrs"]]})
+                    for r in html_cards.raw_cards(df, keep=("page_id",)).collect()), key=lambda x: x[:2])
+    wanted = [(i, no, card) for i, page in enumerate(pages) for no, card in enumerate(html_cards.read_cards(page), start=1)]
+    return found, wanted
+
+
+def test_native_cards_equal_the_tag_reader(spark):
+    """Regular cards, and the same with every kind of damage, are read alike by patterns and tag by tag."""
+    rows = row("Seat Type", " Economy  <b>Class</b> ") + row("Food &amp; Beverages", stars=3) + row("Wifi", stars=0, cls="wifi big") + row("Route", "A to B")
+    good = CARD.format(iso="2020-05-03", rows=rows)
+    pages = [good, good * 3, "x" + good + "<p>" + good.replace("Ann", "Bob") + "</p>", CARD.format(iso="", rows=""), CARD.format(iso="  ", rows=row("", ""))]
+    rng = random.Random(5)
+    tags = ["</p>", "<p>", "<b>", "</b>", "</div>", "<div>", "</span>", "</td>", "<td>", "</table>", "<h2 class='text_header'>", "</h2>", "<br>", "</article>", "<article>", "&eacute;", "&lt", "&#233;", "<", ">", '"', "<!-- </h2> -->", "<span class=\"star fill\">", "<script>'</td>'</script>", "\u00a0", "<i>", "</h3>", "<article itemprop=review>", "</ARTICLE>", "<div class=\"body\">", "<tr>", '<meta itemprop="datePublished" content="1999">', '<time itemprop="datePublished" datetime="1999">x</time>']
+    for _ in range(400):
+        page = good
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            at = rng.choice([m.start() for m in re.finditer("[<>]| ", page)]) + rng.choice([0, 0, 1])
+            page = page[:at] + rng.choice(tags) + page[at:]
+        pages.append(page)
+    for m in list(re.finditer(r"<[^>]*>", good)):
+        pages.append(good[: m.start()] + good[m.end() :])  # each tag left out once
+    found, wanted = both_ways(spark, [*pages, None, "", "no cards"])
+    assert len(found) == len(wanted)
+    for a, b in zip(found, wanted):
+        assert a == b, pages[a[0]]
+
+
+def test_regular_cards_stay_out_of_python(spark):
+    good = CARD.format(iso="2020-05-03", rows=row("Route", "A to B") + row("Wifi", stars=2))
+    df = spark.createDataFrame([(good,), (good.replace("</h2>", ""),), (good.replace("&amp;", "&eacute;"),)], "p string")
+    regular = [r[0] for r in df.select(F.col("p").rlike(html_cards.REGULAR) & ~F.col("p").rlike(html_cards._OTHER_ENTITY)).collect()]
+    assert regular == [True, False, False]
+
+
+def test_long_bodies(spark):
+    """More tags than the pattern takes, and very long plain texts."""
+    body = "word <i>x</i> " * 3_000
+    pages = [CARD.format(iso="2020-05-03", rows="").replace("<br>", body), CARD.format(iso="2020-05-03", rows="").replace("<br>", "long text " * 50_000)]
+    found, wanted = both_ways(spark, pages)
+    assert found == wanted and len(found) == 2
+
+
 def test_stray_signs_stay_text():
     (c,) = html_cards.read_cards('<article itemprop=review><div class="text_content" itemprop="reviewBody">a < b &gt; c</div></article>')
     assert c["body"] == "a < b > c"

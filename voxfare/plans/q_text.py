@@ -252,6 +252,82 @@ def html_cards_query(t):
     )
 
 
+def _stored_pages(t, rows, visit: str):
+    """The pages table with a review card put into each page; every seventh card has an unclosed cell, every ninth a nested article."""
+    n = F.col("page_id")
+    when = F.date_add(F.lit("2015-01-31").cast("date"), (n % 2000).cast("int"))
+    label = lambda name, cls="": F.lit(f'<tr><td class="review-rating-header{cls}">{name}</td>')
+    value = lambda x: F.concat(F.lit('<td class="review-value">'), x.cast("string"), F.when(n % 7 == 0, "").otherwise("</td>"), F.lit("</tr>"))
+    stars = lambda x: F.concat(F.lit('<td class="review-rating-stars">'), F.repeat(F.lit('<span class="star fill">*</span>'), (x % 6).cast("int")), F.lit('<span class="star">*</span></td></tr>'))
+    table = [F.concat(label(name, cls), stars(x) if kind == "stars" else value(x)) for name, cls, kind, x in rows(n)]
+    card = F.concat(
+        F.lit('<article itemprop="review" class="comp"><div itemprop="reviewRating"><span itemprop="ratingValue">'), (n % 10 + 1).cast("string"),
+        F.lit('</span>/<span itemprop="bestRating">10</span></div><div class="body"><h2 class="text_header">&quot;Page <i>'), n.cast("string"),
+        F.lit('</i>&quot;</h2><h3 class="text_sub_header userStatusWrapper"><span itemprop="author"><span itemprop="name">Reader '), (n % 50).cast("string"),
+        F.lit('</span></span> (Chile) <time itemprop="datePublished" datetime="'), F.date_format(when, "yyyy-MM-dd"), F.lit('">'), _shown(when),
+        F.lit("</time></h3>"), F.when(n % 9 == 0, '<article class="ad"><h2 class="text_header">Ad</h2></article>').otherwise(""),
+        F.lit('<div class="text_content" itemprop="reviewBody">Not Verified | '), F.col("url"), F.lit('<br>seen</div><table class="review-ratings">'),
+        label(visit), value(F.date_format(F.add_months(when, -1), "MMMM yyyy")), *table,
+        label("Recommended"), value(F.when(n % 3 == 0, "yes").when(n % 3 == 1, "NO").otherwise("N/A")), F.lit("</table></div></article>"),
+    )
+    return t.pages.select("page_id", "url", F.concat(F.substring_index("html", "<article>", 1), card, F.lit("<article>"), F.substring_index("html", "<article>", -1)).alias("html"))
+
+
+def _cards_of_kind(t, kind: str, rows, visit: str, fields):
+    raw = html_cards.raw_cards(_stored_pages(t, rows, visit))
+    ordered = raw.withColumn("scrape_order", F.col("page_id") * 100 + F.col("card_no"))
+    table = html_cards.review_table(ordered, kind, "Example Air", "scrape_order")
+    final = html_cards.finish_reviews(table, "2014-12-01", "2030-12-01")
+    return final.select("page_number", "review_date_iso", "trip_month", "reviewer_name", "reviewer_country", "review_title", "overall_rating_10", "trip_verified", "review_text", *fields, "recommended")
+
+
+def _kind_sql(fields: str) -> str:
+    """Common columns of both kinds, from the page's number and address."""
+    day = "(DATE '2015-01-31' + CAST(page_id % 2000 AS INTEGER))"
+    before = f"({day} - INTERVAL 1 MONTH)"
+    return f"""SELECT page_id AS page_number, strftime({day}, '%Y-%m-%d') AS review_date_iso, {MONTH_NAMES}[month({before})] || ' ' || CAST(year({before}) AS VARCHAR) AS trip_month,
+      'Reader ' || page_id % 50 AS reviewer_name, 'Chile' AS reviewer_country, 'Page ' || page_id || ' ' AS review_title, CAST(page_id % 10 + 1 AS VARCHAR) AS overall_rating_10,
+      'No' AS trip_verified, url || ' seen' AS review_text, {fields}, CASE page_id % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE 'Not Rated' END AS recommended FROM pages"""
+
+
+def _star_sql(shift: int, name: str) -> str:
+    return f"coalesce(CAST(nullif((page_id + {shift}) % 6, 0) AS VARCHAR), 'Not Rated') AS {name}"
+
+
+@query(
+    "html_cards_seat",
+    _kind_sql(f"""'Cabin ' || page_id % 4 AS seat_type, CASE WHEN page_id % 5 = 0 THEN 'Not Rated' ELSE '3-4-' || page_id % 5 END AS seat_layout,
+      {_star_sql(1, 'seat_legroom')}, {_star_sql(2, 'power_supply')}, {_star_sql(3, 'seat_power_supply_firstbusiness')}, {_star_sql(4, 'seatbed_width')}, 'Not Rated' AS seat_privacy"""),
+)
+def html_cards_seat(t):
+    def rows(n):
+        return [
+            ("Seat Type", "", "value", F.concat(F.lit(" Cabin "), (n % 4).cast("string"))), ("Seat Layout", "", "value", F.when(n % 5 == 0, "N/A").otherwise(F.concat(F.lit("3-4-"), (n % 5).cast("string")))),
+            ("Seat Legroom", "", "stars", n + 1), ("Power Supply", "", "stars", n + 2), ("Power Supply", " seat_power_supply_firstbusiness", "stars", n + 3),
+            ("Seat/Bed Width", "", "stars", n + 4), ("Unknown", "", "stars", n),
+        ]
+
+    fields = ("seat_type", "seat_layout", "seat_legroom", "power_supply", "seat_power_supply_firstbusiness", "seatbed_width", "seat_privacy")
+    return _cards_of_kind(t, "seat", rows, "Date Flown", fields)
+
+
+@query(
+    "html_cards_lounge",
+    _kind_sql(f"""'Lounge ' || page_id % 11 AS lounge_name, 'Hall & Gate ' || page_id % 3 AS airport, {_star_sql(1, 'comfort')}, {_star_sql(2, 'bar_beverages')},
+      {_star_sql(3, 'catering')}, {_star_sql(4, 'wifi_connectivity')}, {_star_sql(5, 'staff_service')}, 'Not Rated' AS washrooms"""),
+)
+def html_cards_lounge(t):
+    def rows(n):
+        return [
+            ("Lounge Name", "", "value", F.concat(F.lit("Lounge <b>"), (n % 11).cast("string"), F.lit("</b>"))), ("Airport", "", "value", F.concat(F.lit("Hall &amp; Gate "), (n % 3).cast("string"))),
+            ("Comfort", "", "stars", n + 1), ("Bar &amp; Beverages", "", "stars", n + 2), ("Food Choices / Quality", "", "stars", n + 3),
+            ("Internet / WiFi", "", "stars", n + 4), ("Quality of Staff Service", "", "stars", n + 5),
+        ]
+
+    fields = ("lounge_name", "airport", "comfort", "bar_beverages", "catering", "wifi_connectivity", "staff_service", "washrooms")
+    return _cards_of_kind(t, "lounge", rows, "Date Visit", fields)
+
+
 # ---------------------------------------------------------------- keywords and complaints
 
 def _keywords(t, hits: str, kind: str):
