@@ -140,6 +140,23 @@ def test_top_bottom_keeps_equal_routes(spark, rows):
     assert rows(got, "route") == [("r1",), ("r2",), ("r3",)]
 
 
+@pytest.mark.parametrize("folds", [2, 5])
+def test_folds_hold_equal_shares(spark, folds):
+    sizes = {"a": 1_003, "b": 3, "c": 1, None: 47}
+    rows = [(100_000 * k + i, g) for k, (g, n) in enumerate(sizes.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, g string")
+    dealt = ranking.deal_folds(df, ["g"], "id", folds, 4).collect()
+    assert len(dealt) == len(rows)
+    for g, n in sizes.items():
+        counts = [sum(r["g"] == g and r["fold"] == f for r in dealt) for f in range(folds)]
+        assert counts == [(f + 1) * n // folds - f * n // folds for f in range(folds)]
+    again = ranking.deal_folds(df.repartition(3), ["g"], "id", folds, 4).collect()
+    assert {(r["id"], r["fold"]) for r in dealt} == {(r["id"], r["fold"]) for r in again}
+    alone = ranking.deal_folds(df, [], "id", folds, 4).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in alone) == sorted((f + 1) * len(rows) // folds - f * len(rows) // folds for f in range(folds))
+    assert ranking.deal_folds(df.limit(0), ["g"], "id", folds, 4).collect() == []
+
+
 def test_lookup_and_among_top(spark, rows):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 4), ("c", 5)], "k string, i int")
     freq = spark.createDataFrame([("a", 2)], "key string, f int")

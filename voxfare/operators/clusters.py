@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,17 +61,142 @@ def k_candidates(n_rows: int, limits: tuple[int, int] = K_RANGE) -> list[int]:
     return list(range(limits[0], min(limits[1], n_rows // 10)))
 
 
-def choose_k(df: DataFrame, vec: str, ks: Sequence[int], seed: int = SEED, max_iter: int = 300) -> tuple[int, DataFrame]:
-    """Cluster count with the greatest mean silhouette over all rows, and the table of scores."""
-    df = df.select(vec).persist()
+@dataclass(frozen=True)
+class Clustering:
+    """Centres with, per centre, the number of rows nearest to it, their sum and their sum of squared lengths."""
+
+    centres: np.ndarray
+    n: np.ndarray
+    sums: np.ndarray
+    squares: np.ndarray
+    cost: float
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres; exact differences, so equal points are at zero."""
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+
+
+def cluster_sums(df: DataFrame, vec: str, sets: Mapping[Any, np.ndarray]) -> dict[Any, Clustering]:
+    """Rows, sums and cost of many sets of centres at once, in one pass over the rows.
+
+    Each task adds up its rows per centre and emits one row for each; Spark adds the vectors of a centre. What reaches the
+    driver has the size of the centres.
+    """
+    names = list(sets)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple] = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_numpy())
+            lengths = (x * x).sum(axis=1)
+            for i, name in enumerate(names):
+                d = _distances(x, sets[name])
+                near = d.argmin(axis=1)
+                k = d.shape[1]
+                sums = np.zeros((k, x.shape[1]))
+                np.add.at(sums, near, x)
+                new = (np.bincount(near, minlength=k), sums, np.bincount(near, lengths, k), np.bincount(near, d.min(axis=1), k))
+                held[i] = tuple(p + q for p, q in zip(held[i], new)) if i in held else new
+        for i, (n, sums, squares, cost) in held.items():
+            yield pd.DataFrame({"set_no": i, "centre": np.arange(len(n)), "n": n, "total": list(sums), "squares": squares, "cost": cost})
+
+    parts = df.select(vector_to_array(vec).alias("x")).mapInPandas(add, "set_no int, centre int, n long, total array<double>, squares double, cost double")
+    added = parts.groupBy("set_no", "centre").agg(
+        F.sum("n").alias("n"), Summarizer.sum(array_to_vector("total")).alias("total"), F.sum("squares").alias("squares"), F.sum("cost").alias("cost")
+    ).collect()  # one row per centre
+    out = {}
+    for i, name in enumerate(names):
+        centres = np.asarray(sets[name], dtype=np.float64)
+        n, sums, squares, cost = np.zeros(len(centres), dtype=np.int64), np.zeros_like(centres), np.zeros(len(centres)), 0.0
+        for r in added:
+            if r["set_no"] == i:
+                n[r["centre"]], sums[r["centre"]], squares[r["centre"]] = r["n"], r["total"].toArray(), r["squares"]
+                cost += r["cost"]
+        out[name] = Clustering(centres, n, sums, squares, cost)
+    return out
+
+
+def silhouettes(df: DataFrame, vec: str, found: Mapping[int, Clustering]) -> DataFrame:
+    """Mean silhouette (squared distances) of many clusterings, in one pass: columns k and silhouette.
+
+    The mean squared distance of a row to a cluster follows from the cluster's sums: no row meets another. A row
+    alone in its cluster scores 0; clusters without rows do not count.
+    """
+    names = list(found)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(names))
+        rows = 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_numpy())
+            lengths, at = (x * x).sum(axis=1), np.arange(len(x))
+            for i, name in enumerate(names):
+                c = found[name]
+                own = _distances(x, c.centres).argmin(axis=1)
+                n = np.maximum(c.n, 1)
+                mean = np.maximum(lengths[:, None] + c.squares / n - 2 * (x @ (c.sums / n[:, None]).T), 0.0)
+                mean[:, c.n == 0] = np.inf
+                inside = mean[at, own] * c.n[own] / np.maximum(c.n[own] - 1, 1)
+                mean[at, own] = np.inf
+                near = mean.min(axis=1)
+                alone = (c.n[own] <= 1) | np.isinf(near)
+                most = np.maximum(inside, near)
+                total[i] += np.where(alone | (most == 0), 0.0, (near - inside) / np.where(alone | (most == 0), 1.0, most)).sum()
+            rows += len(x)
+        yield pd.DataFrame({"k": np.array(names, dtype=np.int32), "total": total, "n": rows})
+
+    parts = df.select(vector_to_array(vec).alias("x")).mapInPandas(score, "k int, total double, n long")
+    return parts.groupBy("k").agg((F.sum("total") / F.sum("n")).alias("silhouette"))
+
+
+def hash_starts(df: DataFrame, vec: str, ks: Sequence[int], starts: int, seed: int = SEED) -> dict[tuple[int, int], np.ndarray]:
+    """For each k and start, k rows as first centres: the rows in an order by hash, a block of the largest k for each start.
+
+    Equal rows come once, so that no two centres of a start are equal; too few rows give fewer starts, the first always.
+    """
+    most = max(ks)
+    x = vector_to_array(vec)
+    rows = df.select(x.alias("x")).groupBy("x").agg(F.lit(1)).select("x", F.xxhash64(F.lit(seed), "x").alias("h"))
+    points = [np.array(r["x"]) for r in rows.orderBy("h").limit(most * starts).collect()]  # starts x the largest k
+    blocks = [points[s * most : (s + 1) * most] for s in range(starts)]
+    return {(k, s): np.stack(b[:k]) for k in ks for s, b in enumerate(blocks) if len(b) >= k or s == 0 and b}
+
+
+def best_of_starts(df: DataFrame, vec: str, ks: Sequence[int], starts: int = 10, seed: int = SEED, max_iter: int = 300, tolerance: float = 1e-4) -> dict[int, Clustering]:
+    """The clustering of least cost among the starts of each k, by Lloyd's steps for all of them at once.
+
+    One pass over the rows moves the centres of every start that still moves further than ``tolerance``. A centre without rows
+    stays where it is.
+    """
+    moving = hash_starts(df, vec, ks, starts, seed)
+    done: dict[tuple[int, int], Clustering] = {}
+    for step in range(max_iter + 1):
+        found = cluster_sums(df, vec, moving)
+        moving = {}
+        for name, c in found.items():
+            new = np.where(c.n[:, None] > 0, c.sums / np.maximum(c.n, 1)[:, None], c.centres)
+            if step < max_iter and ((new - c.centres) ** 2).sum(axis=1).max() > tolerance**2:
+                moving[name] = new
+            else:
+                done[name] = c
+        if not moving:
+            break
+    return {k: min((c for (own, _), c in sorted(done.items(), key=lambda x: x[0]) if own == k), key=lambda c: c.cost) for k in ks if any(own == k for own, _ in done)}
+
+
+def choose_k(df: DataFrame, vec: str, ks: Sequence[int], seed: int = SEED, max_iter: int = 300, starts: int = 10) -> tuple[int, DataFrame]:
+    """Cluster count with the greatest mean silhouette over all rows, and the table of scores: k, silhouette, cost."""
+    rows = df.select(vec).persist()
     try:
-        evaluator = ClusteringEvaluator(featuresCol=vec, predictionCol="cluster_id", metricName="silhouette")
-        scores = []
-        for k in ks:
-            model = KMeans(k=k, featuresCol=vec, predictionCol="cluster_id", seed=seed, maxIter=max_iter).fit(df)
-            scores.append((k, float(evaluator.evaluate(model.transform(df))), float(model.summary.trainingCost)))
+        best = best_of_starts(rows, vec, ks, starts, seed, max_iter)
+        scores = [(r["k"], float(r["silhouette"]), float(best[r["k"]].cost)) for r in silhouettes(rows, vec, best).orderBy("k").collect()]
     finally:
-        df.unpersist()
+        rows.unpersist()
     table = df.sparkSession.createDataFrame(scores, "k int, silhouette double, cost double")
     return max(scores, key=lambda s: (s[1], -s[0]))[0], table
 

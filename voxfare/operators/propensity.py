@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from voxfare.functions.scores import flag_code, literal_map, rebook_code, safe_ratio, theme_code, to_double
 from voxfare.operators import trees
-from voxfare.operators.ranking import bounded_rows, exact_quantiles, hash_order, prefix_sum, row_numbers, take_lowest, with_value
+from voxfare.operators.ranking import bounded_rows, deal_folds, exact_quantiles, prefix_sum, row_numbers, take_lowest, union_all, with_value
 
 SEED = 42
 
@@ -121,9 +121,9 @@ def stratified_split(
     return take_lowest(df, [target], key, seed, quota).withColumnRenamed("__taken", "is_test")
 
 
-def fold_column(df: DataFrame, key: str, folds: int = 5, seed: int = SEED, name: str = "fold") -> DataFrame:
-    """Fold number by hash of the key."""
-    return df.withColumn(name, (F.conv(F.substring(hash_order(key, seed + 1), 1, 8), 16, 10).cast("bigint") % folds).cast("int"))
+def fold_column(df: DataFrame, key: str, target: str | None = None, folds: int = 5, seed: int = SEED, name: str = "fold") -> DataFrame:
+    """Fold number in a fixed random order, with the same share of each class of ``target`` in every fold, to the row."""
+    return deal_folds(df, [target] if target else [], key, folds, seed + 1, name)
 
 
 def fit_imputer(train: DataFrame, cols: Sequence[str]) -> dict[str, float]:
@@ -174,7 +174,8 @@ def logistic(train: DataFrame, target: str, features_col: str = "scaled", c: flo
     )
 
 
-def forest(target: str, trees: int = 300, min_leaf: int = 5, depth: int = 10, seed: int = SEED):
+def forest(target: str, trees: int = 300, min_leaf: int = 5, depth: int = 30, seed: int = SEED):
+    """Trees grow until their leaves are small; 30 levels are the most that Spark's trees can have."""
     return RandomForestClassifier(
         featuresCol="features", labelCol=target, weightCol="weight", numTrees=trees,
         minInstancesPerNode=min_leaf, maxDepth=depth, seed=seed,
@@ -189,10 +190,10 @@ def boosted(target: str, rounds: int = 300, step: float = 0.05, depth: int = 5,
 
 
 def cross_validate(estimator, train: DataFrame, target: str, folds: int = 5, fold: str = "fold") -> DataFrame:
-    """Mean and deviation of the area under the curve over given folds."""
+    """Mean and deviation of the area under the curve over given folds; the folds are fitted side by side."""
     cv = CrossValidator(
         estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=BinaryClassificationEvaluator(labelCol=target), numFolds=folds, foldCol=fold,
+        evaluator=BinaryClassificationEvaluator(labelCol=target), numFolds=folds, foldCol=fold, parallelism=folds,
     )
     model = cv.fit(train)
     return train.sparkSession.createDataFrame(
@@ -200,6 +201,11 @@ def cross_validate(estimator, train: DataFrame, target: str, folds: int = 5, fol
     )
 
 
+def cross_validate_all(estimators: Mapping[str, Any], train: DataFrame, target: str, folds: int = 5, fold: str = "fold") -> DataFrame:
+    """One row of ``cross_validate`` per model."""
+    return union_all(*[cross_validate(e, train, target, folds, fold).select(F.lit(n).alias("model"), "*") for n, e in estimators.items()])
+
+
 def score(model: Model, df: DataFrame, prefix: str, keep: Sequence[str]) -> DataFrame:
     """Predicted class and probability of the positive class."""
     out = model.transform(df)

@@ -330,3 +330,32 @@ def take_lowest(df: DataFrame, by: Sequence[str], key: str, seed: int, quota: Co
     last = placed.filter(F.col("__rn") <= F.col("__need")).groupBy(*keys).agg(F.max("__h").alias("__last"))
     flagged = attach(hashed, last, keys, "left")
     return flagged.select(*df.columns, F.coalesce(F.col("__h") <= F.col("__last"), F.lit(False)).alias("__taken"))
+
+
+def deal_folds(df: DataFrame, by: Sequence[str], key: str, folds: int, seed: int, name: str = "fold") -> DataFrame:
+    """Deal each group's rows, in hash order of a unique key, to folds of equal size: of n rows in a group, fold f (from 0)
+    gets those of rank above floor(f n / folds) up to floor((f + 1) n / folds).
+
+    As in ``take_lowest``, counts per hash bucket show where the folds part; only the rows of those buckets are ordered,
+    and the fold of a row is the number of such limits below its hash. A NULL group is a group of its own.
+    """
+    by = list(by)
+    keys = [f"__k_{b}" for b in by]
+    by_key = [F.coalesce(F.col(b).cast("string"), F.lit("\\N")).alias(k) for b, k in zip(by, keys)]
+    hashed = df.select("*", *by_key, hash_order(key, seed).alias("__h")).withColumn("__hb", F.substring("__h", 1, 4))
+    sizes = hashed.groupBy(*keys, "__hb").agg(F.count(F.lit(1)).alias("__n"))
+    upto = W.partitionBy(*keys).orderBy("__hb").rowsBetween(W.unboundedPreceding, 0)
+    told = sizes.withColumn("__cum", F.sum("__n").over(upto)).withColumn("__size", F.sum("__n").over(W.partitionBy(*keys)))
+    limits = told.select("*", F.explode(F.sequence(F.lit(1), F.lit(folds - 1))).alias("__f")).withColumn("__rank", F.floor(F.col("__f") * F.col("__size") / folds))
+    before = F.col("__cum") - F.col("__n")
+    edges = limits.filter((F.col("__rank") > before) & (F.col("__rank") <= F.col("__cum"))).select(*keys, "__hb", "__f", (F.col("__rank") - before).alias("__need"))
+    near = attach(hashed.select(*keys, "__h", "__hb"), edges.groupBy(*keys, "__hb").agg(F.collect_list(F.struct("__f", "__need")).alias("__e")), [*keys, "__hb"])
+    placed = near.withColumn("__rn", F.row_number().over(W.partitionBy(*keys, "__hb").orderBy("__h")))
+    last = placed.select(*keys, "__h", "__rn", F.explode("__e").alias("__x")).filter(F.col("__rn") == F.col("__x.__need"))
+    ends = last.groupBy(*keys).agg(F.collect_list(F.struct("__h", F.col("__x.__f").alias("__f"))).alias("__ends"))
+    totals = told.groupBy(*keys).agg(F.max("__size").alias("__size"))
+    dealt = attach(hashed, totals.join(ends, keys, "left") if keys else totals.select("*", ends.scalar().alias("__ends")), keys)
+    # limits at rank 0, of groups smaller than the number of folds, lie below every row
+    empty = F.size(F.filter(F.sequence(F.lit(1), F.lit(folds - 1)), lambda f: f * F.col("__size") < folds))
+    passed = F.size(F.filter(F.coalesce(F.col("__ends"), F.array()), lambda e: e["__h"] < F.col("__h")))
+    return dealt.select(*[c for c in df.columns if c != name], (empty + passed).cast("int").alias(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,23 @@ def silhouette_k(t):
     return rounded(table, "silhouette", "cost", places=4)
 
 
+@query(
+    "silhouette_fixed",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+      c AS (SELECT k, vec_id AS j, e AS c FROM v, (SELECT unnest([2, 3, 5]) AS k) WHERE vec_id < k),
+      a AS (SELECT k, vec_id, any_value(e) AS e, arg_min(j, (pow(list_distance(e, c), 2), j)) AS own FROM v, c GROUP BY k, vec_id),
+      m AS (SELECT p.k, p.vec_id, p.own, q.own AS other, sum(pow(list_distance(p.e, q.e), 2)) AS total, count(*) AS n FROM a p JOIN a q ON p.k = q.k GROUP BY ALL),
+      s AS (SELECT k, vec_id, max(total / (n - 1)) FILTER (own = other AND n > 1) AS x, min(total / n) FILTER (own <> other) AS y FROM m GROUP BY k, vec_id)
+      SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN x IS NULL OR y IS NULL OR greatest(x, y) = 0 THEN 0 ELSE (y - x) / greatest(x, y) END), 6) AS silhouette FROM s GROUP BY k""",
+)
+def silhouette_fixed(t):
+    """Rows with the smallest ids as centres of 2, 3 and 5 clusters."""
+    points = clusters.as_vector(t.embeddings, "embedding").select("vec_id", "features")
+    first = [r["features"].toArray() for r in points.filter("vec_id < 5").orderBy("vec_id").collect()]  # five rows
+    found = clusters.cluster_sums(points, "features", {k: np.stack(first[:k]) for k in (2, 3, 5)})
+    return rounded(clusters.silhouettes(points, "features", found), "silhouette")
+
+
 @query("kmeans_clusters")
 def kmeans_clusters(t):
     units = _units(t)
@@ -138,10 +156,6 @@ SPEC = propensity.FeatureSpec(
 )
 
 
-# Boosting rounds of the registered queries; the operator's own default is 300.
-ROUNDS = 60
-
-
 def _target_rows(t: Tables) -> DataFrame:
     return propensity.binary_target(t.themed, "recommended")
 
@@ -258,7 +272,7 @@ def prepare(t: Tables) -> tuple[list[str], DataFrame, DataFrame]:
     weighted = propensity.balanced(full.filter(~F.col("is_test")), "target")
     scaler = propensity.fit_scaler(weighted)
     keep = ["review_id", "target", "features", "scaled"]
-    train = compact(propensity.fold_column(scaler.transform(weighted).select(*keep, "weight"), "review_id"))
+    train = compact(propensity.fold_column(scaler.transform(weighted).select(*keep, "weight"), "review_id", "target"))
     test = compact(scaler.transform(full.filter("is_test")).select(*keep))
     return names, train, test
 
@@ -271,7 +285,7 @@ def fitted(t: Tables) -> Fitted:
         models = {
             "lr": propensity.logistic(train, "target").fit(train),
             "rf": propensity.forest("target").fit(train),
-            "boosted": propensity.boosted("target", rounds=ROUNDS).fit(train),
+            "boosted": propensity.boosted("target").fit(train),
         }
         _FITTED[at] = Fitted(names, train, test, models)
     return _FITTED[at]
@@ -296,6 +310,40 @@ def lr_cross_validation(t):
     )
 
 
+@query("model_cross_validation")
+def model_cross_validation(t):
+    f = fitted(t)
+    models = {"lr": propensity.logistic(f.train, "target"), "rf": propensity.forest("target"), "boosted": propensity.boosted("target")}
+    return rounded(propensity.cross_validate_all(models, f.train, "target"), "cv_auc_mean", "cv_auc_sd", places=4)
+
+
+DEALT = " + ".join(f"CAST(rn > {f} * n // 5 AS INTEGER)" for f in (1, 2, 3, 4))
+
+
+@query(
+    "fold_sizes",
+    f"""SELECT target, fold, count(*) AS n FROM (SELECT target, {DEALT} AS fold
+        FROM (SELECT CAST(recommended = 'Yes' AS INTEGER) AS target, row_number() OVER (PARTITION BY recommended ORDER BY md5('43:' || review_id)) AS rn,
+          count(*) OVER (PARTITION BY recommended) AS n FROM rated WHERE recommended IN ('Yes', 'No'))) GROUP BY 1, 2""",
+    ("rated",),
+)
+def fold_sizes(t):
+    rows = propensity.fold_column(propensity.binary_target(t.rated, "recommended").select("review_id", "target"), "review_id", "target")
+    return rows.groupBy("target", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "fold_rows",
+    f"""SELECT review_id, {DEALT} AS fold
+      FROM (SELECT review_id, row_number() OVER (PARTITION BY recommended ORDER BY md5('43:' || review_id)) AS rn,
+        count(*) OVER (PARTITION BY recommended) AS n FROM rated WHERE recommended IN ('Yes', 'No'))""",
+    ("rated",),
+)
+def fold_rows(t):
+    rows = propensity.binary_target(t.rated, "recommended").select("review_id", "target")
+    return propensity.fold_column(rows, "review_id", "target").select("review_id", "fold")
+
+
 @query("rf_fit")
 def rf_fit(t):
     f = fitted(t)
