@@ -4,6 +4,8 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,22 +76,26 @@ def test_fingerprint_query_on_the_whole_table(spark):
     check_fingerprints(pairs, QUERIES["op3_chunk_fingerprints"](spark, SF).collect())
 
 
+def text_hash(text):
+    return np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64)
+
+
 def plain_spans(pairs, least_run=128):
-    """Repeats by a dictionary of chunks over rows in order of (id, place)."""
-    order = sorted(range(len(pairs)), key=lambda i: (pairs[i][0] is not None, pairs[i][0] or 0, i))
-    first, out, texts = {}, [], {}
-    for i in order:
-        doc, data = pairs[i][0], (pairs[i][1] or "").encode()
+    """Repeats by a dictionary of chunks over documents in order of (id, hash of the text)."""
+    texts = sorted({(d, t) for d, t in pairs if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1])))
+    first, spans, kept = {}, {}, {}
+    for doc, text in texts:
+        data = text.encode()
         ends = plain_ends(data, 12, 32, 128)
         runs = []
         for a, b in zip([0, *ends], ends):
-            holder = first.setdefault(data[a:b], (i, doc))
-            if holder[0] != i:
+            holder = first.setdefault(data[a:b], (doc, text, a))
+            if holder != (doc, text, a):
                 if runs and runs[-1][1] == a:
                     runs[-1][1] = b
                 else:
-                    runs.append([a, b, holder[1]])
-        kept, before = b"", 0
+                    runs.append([a, b, holder[0]])
+        rest, before, out = b"", 0, []
         for a, b, holder in runs:
             if b - a >= least_run:
                 while data[a:b] and data[a] & 0xC0 == 0x80:
@@ -98,9 +104,9 @@ def plain_spans(pairs, least_run=128):
                     b -= 1
                 start = len(data[:a].decode())
                 out.append((doc, start, start + len(data[a:b].decode()), holder))
-                kept, before = kept + data[before:a], b
-        texts[i] = (kept + data[before:]).decode() if pairs[i][1] is not None else None
-    return Counter(out), [texts[i] for i in range(len(pairs))]
+                rest, before = rest + data[before:a], b
+        spans[doc, text], kept[doc, text] = out, (rest + data[before:]).decode()
+    return Counter(x for r in pairs if r[1] is not None for x in spans[r]), [kept.get(r) for r in pairs]
 
 
 PASSAGE = prose(99, 60)
@@ -126,6 +132,30 @@ def test_a_shared_passage_goes_from_later_documents(spark):
     assert kept[21].text.startswith(prose(21, 50)[:250]) and kept[21].n_chars == len(kept[21].text)
 
 
+@pytest.mark.parametrize("ranges", ["1", "2", "40"])
+def test_digests_that_span_ranges(spark, ranges):
+    """Passages of a third of all rows run over many ranges; their holder stays the first place of all."""
+    pairs = [(d, (PASSAGE + " " if d % 3 == 0 else "") + prose(d, 40) + " " + prose(d % 5, 30)) for d in range(1, 200)]
+    pairs += [(7, pairs[6][1]), (7, PASSAGE + " " + PASSAGE), (None, PASSAGE), (None, "x" + PASSAGE), (300, prose(7, 90) + " " + PASSAGE + " " + PASSAGE + " end")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        docs = docs_of(spark, pairs)
+        spans, texts = plain_spans(pairs)
+        assert Counter(map(tuple, substrings.repeated_spans(docs).collect())) == spans
+        assert Counter((r.doc_id, r.text) for r in substrings.without_repeats(docs).collect()) == Counter(zip([d for d, _ in pairs], texts))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(any(s[0] == d for s in spans) for d in range(3, 200, 3))
+
+
+def test_a_passage_repeated_inside_one_document(spark):
+    text = prose(1, 30) + " " + PASSAGE + " " + prose(2, 30) + " " + PASSAGE + " " + prose(3, 30)
+    (r,) = substrings.without_repeats(docs_of(spark, [(1, text)])).collect()
+    assert r.text.count(PASSAGE) == 1 and r.text.count(PASSAGE[60:-80]) == 1
+    assert r.text.startswith(prose(1, 30) + " " + PASSAGE) and r.text.endswith(prose(3, 30)[80:])
+
+
 def test_repeats_of_an_empty_table(spark):
     assert substrings.repeated_spans(docs_of(spark, [])).collect() == []
     assert substrings.without_repeats(docs_of(spark, [])).collect() == []

@@ -94,6 +94,12 @@ def test_keep_one_keeps_the_smallest_of_each_group_and_null_keys(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 9, None]
 
 
+def test_keep_one_loses_no_text_where_ids_repeat(spark):
+    pairs = [(9, prose(1, 60)), (9, prose(2, 60)), (9, prose(1, 60)), (4, prose(3, 60)), (12, prose(2, 60)), (5, None), (5, "")]
+    kept = sorted((r.doc_id, r.text or "") for r in simhash.keep_one(docs_of(spark, pairs)).collect())
+    assert kept == sorted([(9, prose(1, 60)), (9, prose(2, 60)), (4, prose(3, 60)), (5, "")])
+
+
 def test_query_matches_all_pairs_on_the_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     pairs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]

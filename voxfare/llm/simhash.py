@@ -193,6 +193,18 @@ def links(distinct: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS) -> Data
     return dealt.mapInArrow(_link_lists(max_bits), "a long, b long")
 
 
+def _judged(docs: DataFrame, keep: list[str], text: str, words: int, max_bits: int) -> DataFrame:
+    """``keep`` (doc_id among them), fp, root and component_id of each row."""
+    prints = stored(fingerprints(docs, text, words, tuple(keep)), "simhash")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = components(links(distinct, "fp", max_bits), "simhash-links")
+    classed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    classed = stored(classed, "simhash-classes")
+    lowest = classed.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = classed.join(lowest, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select(*keep, "fp", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, max_bits: int = MAX_BITS
 ) -> DataFrame:
@@ -202,25 +214,23 @@ def near_duplicates(
     never name a component unless it has no other key (then null). Repeated rows come out as often
     as they came in; an empty table gives an empty result. Other columns are not read.
     """
-    prints = stored(fingerprints(docs.select(F.col(key).alias("doc_id"), text), text, words), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct, "fp", max_bits), "simhash-links")
-    classed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    classed = stored(classed, "simhash-classes")
-    lowest = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classed.join(lowest, "root").select("fp", "component_id")
-    out = prints.join(named, "fp")
+    out = _judged(docs.select(F.col(key).alias("doc_id"), text), ["doc_id"], text, words, max_bits)
     return out.select(
         F.col("doc_id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay when one row of each near-duplicate component does: the smallest key.
+    """The rows of ``docs`` that stay when one row of each near-duplicate component does: the smallest key, and of
+    several texts with that key the one with the smallest hash.
 
-    Rows with a null key cannot be told apart and all stay. All columns are returned unchanged.
+    Rows with equal keys and texts are copies, whatever their other columns say, and one of them stays. Rows with a null key
+    cannot be told apart and all stay. All columns are returned unchanged. Columns named __text_hash are not allowed.
     """
-    judged = near_duplicates(docs.filter(F.col(key).isNotNull()), text, key, words, max_bits)
-    stay = judged.filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    kept = docs.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    known = hashed.filter(F.col(key).isNotNull())
+    judged = _judged(known.select(F.col(key).alias("doc_id"), "__text_hash", text), ["doc_id", "__text_hash"], text, words, max_bits)
+    stay = judged.groupBy("root").agg(F.min(F.struct("doc_id", "__text_hash")).alias("row"))
+    stay = stay.select(F.col("row.doc_id").alias(key), F.col("row.__text_hash").alias("__text_hash"))
+    kept = known.join(stay, [key, "__text_hash"], "left_semi").dropDuplicates([key, "__text_hash"]).select(*docs.columns)
     return kept.unionByName(docs.filter(F.col(key).isNull()))
