@@ -198,5 +198,5 @@ def test_clusters(spark):
     vec, _ = clusters.text_vectors(docs, "t")
     sizes = {r["id"]: r["n"] for r in vec.select("id", F.size(F.filter(vector_to_array("features"), lambda x: x > 0)).alias("n")).collect()}
     assert sizes == {1: 3, 2: 2}
-    w2v, _ = clusters.text_vectors(docs, "t", method="word2vec", size=8)
+    w2v, _ = clusters.text_vectors(docs, "t", method="word2vec", word_size=8)
     assert len(w2v.first()["features"]) == 8

@@ -39,6 +39,20 @@ def test_shapiro_separates_shapes():
     assert math.isnan(stats.shapiro_wilk(np.ones(20))[0])
 
 
+def test_shapiro_small_samples():
+    """Published values for 11 and 3 values, and the ends of the range."""
+    w, p = stats.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    assert (round(w, 5), round(p, 5)) == (0.78881, 0.00670)
+    w, p = stats.shapiro_wilk([1, 2, 4])
+    assert (round(w, 5), round(p, 4)) == (0.96429, 0.6369)
+    for n in range(3, 14):
+        w, p = stats.shapiro_wilk(np.arange(n))
+        assert 0.9 < w <= 1 and 0.5 < p <= 1
+        w, p = stats.shapiro_wilk([*range(n - 1), 1e6])
+        assert w < 0.8 and p < 0.06
+    assert math.isnan(stats.shapiro_wilk([1, 2])[0]) and math.isnan(stats.shapiro_wilk([5, 5, 5])[0])
+
+
 def test_shapiro_known_sample():
     # The weights of 11 men in the paper of 1965 are too few for this range; a symmetric grid is exact.
     x = np.array([stats._NORMAL.inv_cdf((i - 0.375) / 50.25) for i in range(1, 51)])

@@ -1,3 +1,6 @@
+import csv
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -15,6 +18,34 @@ def test_na_tokens_keep_lower_case_none(spark, tmp_path):
     assert got == [('x, "q"\nline', None), ("none", None), (None, None), (None, "ok")]
 
 
+@pytest.mark.parametrize("split", ["7b", "64b", "1k", "128m"])
+def test_csv_in_splits(spark, tmp_path, split):
+    """Line breaks inside quotes, at every place against the splits, as Python's csv module writes them."""
+    rng = random.Random(len(split))
+    cells = ["x", "", "a b", 'say "hi"', "two\nlines", "three\n\nlines", "\r\n", ",", "éü", "long " * 12, '"', '"\n"']
+    (tmp_path / "in").mkdir()
+    want = []
+    for name in "abc":
+        rows = [[rng.choice(cells) for _ in range(3)] for _ in range(30)]
+        want += rows
+        with open(tmp_path / "in" / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            writer = csv.writer(f, lineterminator="\r\n" if name == "b" else "\n")
+            writer.writerows([["p", "q", "r"], *rows])
+    (tmp_path / "in" / "d.csv").write_text('p,q,r\n\n1,2,3\n\n4,5,"no\nend', encoding="utf-8")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        parts = spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions()
+        assert parts > 40 if split == "64b" else parts >= 1
+        got = [tuple(r) for r in files.read_reviews(spark, str(tmp_path / "in"), schemas.csv_schema(["p", "q", "r"]), tokens=("",)).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    filled = [tuple(c or None for c in r) for r in want]
+    assert Counter(got) == Counter([*filled, ("1", "2", "3"), ("4", "5", "no\nend")])
+
+
 def test_csv_with_mark(spark, tmp_path):
     out = str(tmp_path / "out")
     df = spark.createDataFrame([("é", ["a", None, "b"], 1)], "name string, tags array<string>, n int").coalesce(1)

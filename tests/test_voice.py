@@ -1,3 +1,5 @@
+import math
+
 import json
 
 import pytest
@@ -128,3 +130,19 @@ def test_not_stated_and_years(spark):
     df = spark.createDataFrame([(None, 2015), ("x", None), ("y", 2016)], "a string, year int")
     assert [r["a"] for r in voice.not_stated(df, ["a"]).collect()] == ["Not stated", "x", "y"]
     assert voice.valid_years(df, "year").count() == 1
+
+
+def test_lists_of_two_kinds_explode_in_one_pass(spark, rows):
+    df = spark.createDataFrame([(1, " Good | |FAST", "late"), (2, None, "late|Late "), (3, "", None)], "id int, p string, n string")
+    both = voice.explode_typed(df, {"p": "positive", "n": "negative"}, ["id"])
+    one = voice.explode_terms(df, "p", "positive", ["id"]).unionByName(voice.explode_terms(df, "n", "negative", ["id"]))
+    assert rows(both, "id", "keyword", "sentiment_type") == rows(one, "id", "keyword", "sentiment_type")
+    plan = voice.combined_terms(both)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(concat" not in plan  # the lists are cut once, before
+
+
+def test_term_weights_by_hand(spark):
+    docs = [(1, "Crew crew, late seats"), (2, "the crew"), (3, None), (4, "")]
+    got = {(r["id"], r["word"]): (r["tf"], r["df"], r["idf"], r["weight"]) for r in voice.term_weights(spark.createDataFrame(docs, "id int, t string"), "t", "id", stop=["the"]).collect()}
+    idf = {n: math.log(4 / (n + 1)) for n in (1, 2)}  # three texts
+    assert got == {(1, "crew"): (2, 2, idf[2], 2 * idf[2]), (1, "late"): (1, 1, idf[1], idf[1]), (1, "seats"): (1, 1, idf[1], idf[1]), (2, "crew"): (1, 2, idf[2], idf[2])}

@@ -148,3 +148,8 @@ def stars(n_filled: Column | str) -> Column:
 def safe_ratio(a: Column, b: Column) -> Column:
     """a / b, NULL where b is 0."""
     return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def known_number(c: Column | str) -> Column:
+    """A column as double, with NULL for NaN, so that aggregates leave both out."""
+    return F.nanvl((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(None).cast("double"))

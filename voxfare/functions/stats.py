@@ -175,23 +175,42 @@ def effect_label(d: Column) -> Column:
 
 
 def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
-    """W statistic and p-value by Royston's 1995 approximation, for samples of 12 to 5,000 values."""
+    """W statistic and p-value by Royston's 1995 approximation, for samples of 3 to 5,000 values; exact for 3.
+
+    Fewer or all equal values give NaN.
+    """
     x = np.sort(np.asarray(x, dtype="float64"))
     n = len(x)
-    if n < 12 or x[0] == x[-1]:
+    if n < 3 or x[0] == x[-1]:
         return float("nan"), float("nan")
     m = np.array([_NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
     ssq = float(m @ m)
     u = 1.0 / math.sqrt(n)
     last = m[-1] / math.sqrt(ssq) + np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u)
-    prev = m[-2] / math.sqrt(ssq) + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u)
-    rest = (ssq - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * prev**2)
-    a = m / math.sqrt(rest)
-    a[-1], a[-2], a[0], a[1] = last, prev, -last, -prev
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    elif n <= 5:  # only the outer weights are fitted
+        a = m / math.sqrt((ssq - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+        a[-1], a[0] = last, -last
+    else:
+        prev = m[-2] / math.sqrt(ssq) + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u)
+        a = m / math.sqrt((ssq - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * prev**2))
+        a[-1], a[-2], a[0], a[1] = last, prev, -last, -prev
     centred = x - x.mean()
     w = min(1.0, float((a @ x) ** 2 / (centred @ centred)))
-    log_n = math.log(n)
-    mu = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], log_n)
-    sigma = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], log_n))
-    z = (math.log1p(-w) - mu) / sigma if w < 1.0 else -math.inf
-    return w, normal_upper(z)
+    if n == 3:
+        return w, min(1.0, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
+    if w == 1.0:
+        return w, 1.0
+    if n <= 11:  # fitted constants of the small samples
+        limit = 0.459 * n - 2.273
+        if math.log1p(-w) >= limit:
+            return w, 0.0
+        y = -math.log(limit - math.log1p(-w))
+        mu = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n)
+        sigma = math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+    else:
+        y = math.log1p(-w)
+        mu = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], math.log(n))
+        sigma = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], math.log(n)))
+    return w, normal_upper((y - mu) / sigma)

@@ -27,6 +27,9 @@ STOP_WORDS = (
     "flight", "airline", "passenger", "service", "staff",
 )
 
+# Private characters that stand for a reviewer's name and a date inside a header.
+NAME_SIGN, DATE_SIGN = "\ue000", "\ue001"
+
 # White space of any kind: as a pattern, and as characters to trim.
 SPACES = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
 SPACE_CHARS = (
@@ -78,18 +81,18 @@ def country_from_header(header: Column | str, name: Column | str, shown_date: Co
     """The country in ``name (country) date``; otherwise whatever the first parentheses hold."""
     header, name, shown_date = _col(header), _col(name), _col(shown_date)
     usable = (name != NOT_RATED) & (shown_date != NOT_RATED) & (header != "")
-    exact = F.concat(_quoted(name), F.lit(r"\s*\((.*?)\)\s*"), _quoted(shown_date))
-    found = F.when(
-        usable & F.regexp_like(header, exact), F.call_function("regexp_extract", header, exact, F.lit(1))
-    ).otherwise(F.regexp_extract(header, r"\((.*?)\)", 1))
+    # one sign stands for the name and one for the date, so that the pattern is the same for all rows; the longer text
+    # goes first, as it may hold the other
+    put = lambda h, c, sign: F.replace(h, c, F.lit(sign))
+    name_first = put(put(header, name, NAME_SIGN), shown_date, DATE_SIGN)
+    date_first = put(put(header, shown_date, DATE_SIGN), name, NAME_SIGN)
+    marked = F.when(F.length(name) >= F.length(shown_date), name_first).otherwise(date_first)
+    between = rf"{NAME_SIGN}\s*\((.*?)\)\s*{DATE_SIGN}"
+    inner = F.replace(F.replace(F.regexp_extract(marked, between, 1), F.lit(NAME_SIGN), name), F.lit(DATE_SIGN), shown_date)
+    found = F.when(usable & marked.rlike(between), inner).otherwise(F.regexp_extract(header, r"\((.*?)\)", 1))
     return clean_text(found)
 
 
-def _quoted(c: Column) -> Column:
-    """A pattern that matches the text of a column literally."""
-    return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-
-
 def verified_flag(body: Column | str) -> Column:
     """Yes / No / sentinel, from the marker in front of a review body."""
     body = _col(body)

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover, Word2Vec
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -32,21 +32,25 @@ def as_vector(df: DataFrame, array: str, out: str = "features") -> DataFrame:
 
 
 def text_vectors(
-    df: DataFrame, col: str, out: str = "features", method: str = "tfidf", size: int = 1 << 14,
+    df: DataFrame, col: str, out: str = "features", method: str = "tfidf", vocabulary: int = 1 << 18, word_size: int = 100,
     brand_words: Iterable[str] = (),
 ) -> tuple[DataFrame, PipelineModel]:
-    """Texts as TF-IDF or Word2Vec vectors, for use where no stored embeddings exist."""
+    """Texts as TF-IDF or Word2Vec vectors, for use where no stored embeddings exist.
+
+    TF-IDF has one place per word, without hash buckets, for the ``vocabulary`` most frequent words: the vocabulary belongs to the
+    model and is held by the driver. ``voice.term_weights`` gives the weights of all words as a table instead.
+    """
     stages = [
         RegexTokenizer(inputCol=col, outputCol="__w", pattern=r"[^\p{L}]+", minTokenLength=3),
         StopWordsRemover(inputCol="__w", outputCol="__k", stopWords=list(text.stop_words(brand_words))),
     ]
     if method == "tfidf":
         stages += [
-            HashingTF(inputCol="__k", outputCol="__tf", numFeatures=size),
+            CountVectorizer(inputCol="__k", outputCol="__tf", vocabSize=vocabulary),
             IDF(inputCol="__tf", outputCol=out),
         ]
     else:
-        stages.append(Word2Vec(inputCol="__k", outputCol=out, vectorSize=min(size, 300), minCount=1, seed=SEED))
+        stages.append(Word2Vec(inputCol="__k", outputCol=out, vectorSize=word_size, minCount=1, seed=SEED))
     model = Pipeline(stages=stages).fit(df)
     return model.transform(df).drop("__w", "__k", "__tf"), model
 

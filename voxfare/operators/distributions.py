@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxfare.functions.scores import tier
-from voxfare.operators.ranking import attach, exact_quantiles, hash_order, prefix_sum, value_counts
+from voxfare.functions.scores import known_number, tier
+from voxfare.operators.ranking import attach, exact_quantiles, hash_order, prefix_sum, value_counts, with_value
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -52,7 +52,8 @@ def kde(df: DataFrame, c: str, by: str, points: int = 1000) -> DataFrame:
     """
     counts = value_counts(df.withColumn(c, F.col(c).cast("double")), c, [by])
     shape = (
-        df.filter(F.col(by).isNotNull() & F.col(c).isNotNull())
+        with_value(df.withColumn(c, F.col(c).cast("double")), c)
+        .filter(F.col(by).isNotNull())
         .groupBy(by)
         .agg(
             F.count(c).cast("double").alias("__n"),
@@ -110,7 +111,7 @@ def ecdf(df: DataFrame, c: str, by: Sequence[str] = (), few: bool = False) -> Da
 
 def corr_with(df: DataFrame, cols: Sequence[str], target: str, strong: float = 0.7, fair: float = 0.5) -> DataFrame:
     """Pearson r of each column with the target over the rows where both are known; strongest first."""
-    wide = df.agg(*[F.corr(c, target).alias(c) for c in cols])
+    wide = df.agg(*[F.corr(known_number(c), known_number(target)).alias(c) for c in cols])
     long = wide.unpivot([], list(cols), "field", "r").filter(F.col("r").isNotNull())
     return long.withColumn("tier", tier("r", strong, fair, ("strong", "moderate", "weak"))).orderBy(F.desc("r"), "field")
 
@@ -118,7 +119,7 @@ def corr_with(df: DataFrame, cols: Sequence[str], target: str, strong: float = 0
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Lower triangle of pairwise-complete correlations, from one pass."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
-    wide = df.agg(F.array(*[F.corr(a, b) for a, b in pairs]).alias("r"))
+    wide = df.agg(F.array(*[F.corr(known_number(a), known_number(b)) for a, b in pairs]).alias("r"))
     names = F.array(*[F.struct(F.lit(a).alias("row_field"), F.lit(b).alias("col_field")) for a, b in pairs])
     zipped = F.explode(F.arrays_zip(names.alias("p"), F.col("r").alias("r")))
     return wide.select(zipped.alias("z")).select("z.p.row_field", "z.p.col_field", "z.r")
@@ -126,7 +127,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def linreg(df: DataFrame, x: str, y: str) -> DataFrame:
     """Least-squares line and r over the complete rows, with the range of x."""
-    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    known = with_value(with_value(df.select(x, y), x), y)
     return known.agg(
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),

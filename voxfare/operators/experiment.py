@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxfare.functions import stats
-from voxfare.functions.scores import holds, safe_ratio
+from voxfare.functions.scores import holds, known_number, safe_ratio
 from voxfare.operators.ranking import prefix_sum, take_lowest, with_value
 
 CONTROL, TREATMENT = "Control", "Treatment"
@@ -43,7 +43,7 @@ def arm_stats(
     for m in metrics:
         fields = [F.lit(m).alias("metric")]
         for prefix, name in (("t", treatment), ("c", control)):
-            x = F.when(F.col(arm) == name, F.col(m).cast("double"))
+            x = F.when(F.col(arm) == name, known_number(m))
             fields += [
                 F.count(x).alias(f"{prefix}_n"),
                 F.avg(x).alias(f"{prefix}_mean"),
@@ -204,8 +204,8 @@ def normality(df: DataFrame, arm: str, metric: str, key: str, n: int = 200, seed
 
 
 def jarque_bera(df: DataFrame, by: str, metric: str) -> DataFrame:
-    """Normality of all rows from skewness and excess kurtosis."""
-    x = F.col(metric).cast("double")
+    """Normality of all rows from skewness and excess kurtosis; missing values and NaN are left out."""
+    x = known_number(metric)
     out = (
         df.filter(F.col(by).isNotNull())
         .groupBy(by)

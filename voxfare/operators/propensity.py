@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from voxfare.functions.scores import flag_code, literal_map, rebook_code, safe_ratio, theme_code, to_double
 from voxfare.operators import trees
-from voxfare.operators.ranking import bounded_rows, deal_folds, exact_quantiles, prefix_sum, row_numbers, take_lowest, union_all, with_value
+from voxfare.operators.ranking import bounded_rows, deal_folds, exact_quantiles, prefix_sum, row_numbers, salted_join, take_lowest, union_all, with_value
+from voxfare.session import checkpointed
 
 SEED = 42
 
@@ -86,7 +87,7 @@ def category_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list[str
     levels = df.select(F.coalesce(F.col(col).cast("string"), F.lit("Unknown")).alias("v")).distinct()
     local = bounded_rows(levels, max_levels)
     if local is None:
-        raise ValueError(f"{col} has more than {max_levels} levels and cannot be one-hot coded")
+        raise ValueError(f"{col} has more than {max_levels} levels; one_hot_sparse codes any number of them")
     return sorted(r["v"] for r in local.collect())
 
 
@@ -98,6 +99,35 @@ def one_hot(df: DataFrame, col: str, prefix: str, levels: Sequence[str] | None =
     return df.select("*", *[(value == v).cast("double").alias(n) for v, n in zip(levels, names)]), names
 
 
+def level_index(df: DataFrame, col: str) -> DataFrame:
+    """(level, index, n): every level of a category with its place in order, from 0, and its number of rows.
+
+    A missing value is the level Unknown. The levels are numbered range by range, so they may be any number.
+    """
+    level = F.coalesce(F.col(col).cast("string"), F.lit("Unknown")).alias("level")
+    counts = df.select(level).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.lit(1).cast("bigint").alias("one"))
+    return prefix_sum(counts, "level", ["one"]).select("level", (F.col("cum_one") - 1).cast("int").alias("index"), "n")
+
+
+def one_hot_sparse(df: DataFrame, col: str, out: str, levels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with a sparse 0/1 vector ``out`` over all levels of a category, none left out, and the table of levels.
+
+    ``levels`` is a table of ``level_index``; a level that it does not hold gives an empty vector. Unlike ``one_hot`` no level becomes a
+    column, so there is no limit to their number. Names with two leading underscores are not allowed.
+    """
+    if levels is None:
+        levels = checkpointed(level_index(df, col), "levels")
+    keyed = df.withColumn("__level", F.coalesce(F.col(col).cast("string"), F.lit("Unknown")))
+    named = levels.select(F.col("level").alias("__level"), F.col("index").cast("double").alias("__index"))
+    coded = salted_join(keyed, named, ["__level"], "left")
+    size = levels.count()
+    encoder = OneHotEncoder(inputCol="__index", outputCol=out, dropLast=True, handleInvalid="error")
+    # one place more than there are levels: the last one, which is dropped, stands for levels without a place
+    known = coded.withColumn("__index", F.coalesce("__index", F.lit(float(size))))
+    fitted = encoder.fit(levels.sparkSession.createDataFrame([(float(size),)], "__index double"))
+    return fitted.transform(known).drop("__index", "__level").select(*df.columns, out), levels
+
+
 def features(df: DataFrame, spec: FeatureSpec, keep: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Coded and one-hot features beside the kept columns, and the feature names in order."""
     out, names = coded(df, spec, keep)

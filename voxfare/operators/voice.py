@@ -20,6 +20,7 @@ from voxfare.operators.ranking import (
     top_per_group,
     union_all,
 )
+from voxfare.session import checkpointed
 from voxfare.sources import schemas
 
 KEYWORD_META = (
@@ -210,6 +211,18 @@ def explode_terms(
     return df.select(*meta, keyword.alias("keyword")).withColumn("sentiment_type", F.lit(sentiment_type))
 
 
+def explode_typed(df: DataFrame, cols: Mapping[str, str], meta: Sequence[str], sep: str = r"\|") -> DataFrame:
+    """``explode_terms`` of several delimited lists in one pass; ``cols`` maps each column to its sentiment type."""
+
+    def listed(col: str, kind: str) -> Column:
+        parts = F.transform(F.split(F.col(col), sep), lambda x: F.lower(text.strip(x)))
+        known = F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(x.alias("keyword"), F.lit(kind).alias("sentiment_type")))
+        return F.coalesce(known, F.array().cast("array<struct<keyword:string,sentiment_type:string>>"))
+
+    each = F.explode(F.concat(*[listed(c, k) for c, k in cols.items()])).alias("__t")
+    return df.select(*meta, each).select(*meta, "__t.*")
+
+
 def term_rank(df: DataFrame, term: str, by: Sequence[str] = ()) -> DataFrame:
     """Frequency and dense rank of every distinct term."""
     counts = df.filter(F.col(term).isNotNull()).groupBy(*by, term).agg(F.count(F.lit(1)).alias("frequency"))
@@ -217,13 +230,18 @@ def term_rank(df: DataFrame, term: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def ranked_terms(df: DataFrame, term: str = "keyword") -> DataFrame:
-    """Rows with the frequency and rank of their term; hot terms are salted in the join."""
-    return salted_join(df, term_rank(df, term), [term])
+    """Rows with the frequency and rank of their term; hot terms are salted in the join.
+
+    The rows are written once to the shared folder, so the texts behind them are read and cut into terms once, not
+    once for the counts and once for the rows.
+    """
+    rows = checkpointed(df, "terms")
+    return salted_join(rows, term_rank(rows, term), [term])
 
 
-def combined_terms(positive: DataFrame, negative: DataFrame, term: str = "keyword") -> DataFrame:
-    """Positive and negative rows under each other, with the row count of (type, term) on each row."""
-    rows = union_all(positive, negative)
+def combined_terms(*tables: DataFrame, term: str = "keyword") -> DataFrame:
+    """Rows of all types under each other, written once, with the row count of (type, term) on each row."""
+    rows = checkpointed(union_all(*tables), "terms")
     counts = rows.groupBy("sentiment_type", term).agg(F.count(F.lit(1)).alias("freq_within_type"))
     return salted_join(rows, counts, ["sentiment_type", term])
 
@@ -236,7 +254,7 @@ def voice_frequency(df: DataFrame, col: str, name: str) -> DataFrame:
 
 def voice_detail(df: DataFrame, col: str, meta: Sequence[str]) -> DataFrame:
     """Review rows with their complaint or praise, its frequency and rank; placeholders drop out."""
-    rows = df.select(*meta, text.clean_voice(col).alias(col)).filter(F.col(col).isNotNull())
+    rows = checkpointed(df.select(*meta, text.clean_voice(col).alias(col)).filter(F.col(col).isNotNull()), "voices")
     ranks = term_rank(rows, col).withColumnRenamed("rank_global", "rank")
     return salted_join(rows, ranks, [col], "left")
 
@@ -282,6 +300,19 @@ def cluster_terms(
     )
 
 
+def term_weights(df: DataFrame, col: str, key: str, brand_words: Iterable[str] = (), stop: Iterable[str] | None = None) -> DataFrame:
+    """TF-IDF of every (text, word) over the whole vocabulary: ``key``, word, tf, df, idf and weight = tf * idf.
+
+    Words count as themselves, not by hash buckets, and their table is never gathered. idf = ln((N + 1) / (df + 1)) over the N texts that
+    are not NULL. ``key`` is unique. A text without words has no row.
+    """
+    counts = checkpointed(tokens(df, col, [key], brand_words, stop).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    known = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    n = df.agg(F.count(col)).scalar()
+    out = salted_join(counts, known, ["word"]).withColumn("idf", F.log((n + 1) / (F.col("df") + 1)))
+    return out.select(key, "word", "tf", "df", "idf", (F.col("tf") * F.col("idf")).alias("weight"))
+
+
 def cluster_examples(df: DataFrame, cluster: str, key: str, col: str, k: int = 3) -> DataFrame:
     """The first ``k`` texts of each cluster in key order, joined with bars."""
     first = top_per_group(df.select(cluster, key, col), [cluster], [F.asc(key)], k)

@@ -16,6 +16,8 @@ from voxfare.operators.trees import Split
 from voxfare.operators.trees import partial_dependence as partial_dependence_of
 from voxfare.plans.registry import bigint, query, rounded
 from voxfare.plans.views import Tables
+from voxfare.session import shared_dir
+from voxfare.sources import files
 from voxfare.sources.files import compact, spread
 
 # ---------------------------------------------------------------- vectors and clusters
@@ -148,16 +150,34 @@ SPEC = propensity.FeatureSpec(
         "feat_year": "year",
         "feat_month": "month",
     },
-    flags={"feat_is_sarcastic": "is_sarcastic"},
+    flags={"feat_trip_verified": "trip_verified", "feat_is_sarcastic": "is_sarcastic", "feat_competitor_mentioned": "competitor_mentioned"},
+    rebook={"feat_rebook": "would_rebook_signal"},
     themes={
         f"feat_theme_{x}": f"theme_{x}" for x in ("seat_comfort", "cabin_crew", "food_beverage", "ife", "wifi", "value")
     },
-    categories={"seat": "seat_type", "traveller": "route"},
+    categories={"seat": "seat_type", "traveller": "route", "emotion": "emotion_primary"},
 )
 
 
+def _signals(t: Tables) -> DataFrame:
+    """Reviews with themes and the signals that an extraction would find, made from their own columns."""
+    rating = F.col("overall_rating_10")
+    return t.themed.withColumns({
+        "trip_verified": F.element_at(F.array(F.lit("Yes"), F.lit("No"), F.lit("Not Rated")), (F.col("year") % 3 + 1).cast("int")),
+        "competitor_mentioned": F.when(F.col("month") < 12, F.col("month") % 4 == 0),
+        "would_rebook_signal": F.when(rating >= 8, " Yes").when(rating >= 5, "MAYBE ").when(rating >= 3, "no").otherwise("not_stated"),
+        "emotion_primary": F.when(F.col("is_sarcastic"), "anger").when(F.col("theme_value") == "positive", "joy").when(F.col("theme_value") == "negative", "frustration"),
+    })
+
+
+SIGNALS_SQL = """signals AS (SELECT *, CASE year % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE 'Not Rated' END AS trip_verified,
+  CASE WHEN month < 12 THEN month % 4 = 0 END AS competitor_mentioned,
+  CASE WHEN overall_rating_10 >= 8 THEN 'yes' WHEN overall_rating_10 >= 5 THEN 'maybe' WHEN overall_rating_10 >= 3 THEN 'no' ELSE 'not_stated' END AS would_rebook_signal,
+  CASE WHEN is_sarcastic THEN 'anger' WHEN theme_value = 'positive' THEN 'joy' WHEN theme_value = 'negative' THEN 'frustration' END AS emotion_primary FROM themed)"""
+
+
 def _target_rows(t: Tables) -> DataFrame:
-    return propensity.binary_target(t.themed, "recommended")
+    return propensity.binary_target(_signals(t), "recommended")
 
 
 @query(
@@ -177,10 +197,13 @@ CODE_SQL = "CASE {0} WHEN 'positive' THEN 1.0 WHEN 'neutral' THEN 0.0 WHEN 'nega
 
 @query(
     "features",
-    f"""SELECT review_id, CAST(recommended = 'Yes' AS INTEGER) AS target, overall_rating_10 AS feat_overall_rating, CAST(year AS DOUBLE) AS feat_year,
+    f"""WITH {SIGNALS_SQL} SELECT review_id, CAST(recommended = 'Yes' AS INTEGER) AS target, overall_rating_10 AS feat_overall_rating, CAST(year AS DOUBLE) AS feat_year,
       CASE is_sarcastic WHEN true THEN 1.0 WHEN false THEN 0.0 END AS feat_is_sarcastic, {CODE_SQL.format('theme_ife')} AS feat_theme_ife,
-      {CODE_SQL.format('theme_wifi')} AS feat_theme_wifi, CAST(seat_type = 'en' AS DOUBLE) AS seat_en, CAST(route = 'src3' AS DOUBLE) AS traveller_src3
-      FROM themed WHERE recommended IN ('Yes', 'No')""",
+      {CODE_SQL.format('theme_wifi')} AS feat_theme_wifi, CAST(seat_type = 'en' AS DOUBLE) AS seat_en, CAST(route = 'src3' AS DOUBLE) AS traveller_src3,
+      CASE trip_verified WHEN 'Yes' THEN 1.0 WHEN 'No' THEN 0.0 END AS feat_trip_verified, CASE competitor_mentioned WHEN true THEN 1.0 WHEN false THEN 0.0 END AS feat_competitor_mentioned,
+      CASE would_rebook_signal WHEN 'yes' THEN 2.0 WHEN 'maybe' THEN 1.0 WHEN 'no' THEN 0.0 END AS feat_rebook,
+      CAST(coalesce(emotion_primary = 'joy', false) AS DOUBLE) AS emotion_joy, CAST(emotion_primary IS NULL AS DOUBLE) AS "emotion_Unknown"
+      FROM signals WHERE recommended IN ('Yes', 'No')""",
     ("themed",),
 )
 def features(t):
@@ -188,10 +211,34 @@ def features(t):
     out, _ = propensity.features(rows, SPEC, ["review_id", "target"])
     return out.select(
         "review_id", "target", "feat_overall_rating", "feat_year", "feat_is_sarcastic", "feat_theme_ife", "feat_theme_wifi",
-        "seat_en", "traveller_src3",
+        "seat_en", "traveller_src3", "feat_trip_verified", "feat_competitor_mentioned", "feat_rebook", "emotion_joy", "emotion_Unknown",
     )
 
 
+@query(
+    "rebook_by_cabin",
+    f"""WITH {SIGNALS_SQL} SELECT seat_type, count(*) FILTER (would_rebook_signal = 'yes') AS yes, count(*) FILTER (would_rebook_signal = 'maybe') AS maybe,
+      count(*) FILTER (would_rebook_signal = 'no') AS no, count(*) FILTER (would_rebook_signal = 'not_stated') AS not_stated, count(*) AS total FROM signals GROUP BY seat_type""",
+    ("themed",),
+)
+def rebook_by_cabin(t):
+    values = ["yes", "maybe", "no", "not_stated"]
+    rows = _signals(t).withColumn("signal", F.lower(F.trim("would_rebook_signal")))
+    return summaries.with_row_total(summaries.crosstab(rows, "seat_type", "signal", values), values)
+
+
+@query(
+    "competitor_mentions",
+    f"""WITH {SIGNALS_SQL} SELECT seat_type, year, count(*) FILTER (competitor_mentioned) AS mentions, count(*) AS n, round(avg(CASE WHEN competitor_mentioned THEN 1.0 ELSE 0 END) * 100, 6) AS mention_pct
+      FROM signals GROUP BY seat_type, year""",
+    ("themed",),
+)
+def competitor_mentions(t):
+    named = F.coalesce(F.col("competitor_mentioned"), F.lit(False))
+    out = _signals(t).groupBy("seat_type", "year").agg(F.count_if(named).alias("mentions"), F.count(F.lit(1)).alias("n"), (F.avg(named.cast("double")) * 100).alias("mention_pct"))
+    return rounded(out, "mention_pct")
+
+
 @query(
     "onehot",
     """SELECT doc_id, CAST(lang = 'de' AS DOUBLE) AS lang_de, CAST(lang = 'en' AS DOUBLE) AS lang_en, CAST(lang = 'es' AS DOUBLE) AS lang_es,
@@ -202,6 +249,22 @@ def onehot(t):
     return out.drop("lang")
 
 
+@query(
+    "onehot_levels",
+    """WITH k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5001 = 5000 THEN 'Unknown' ELSE 'level ' || o_orderkey % 5001 END AS level FROM orders),
+      i AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT level FROM k))
+      SELECT o_orderkey, CAST(place AS INTEGER) AS place, CAST(size AS INTEGER) AS size, 1.0 AS value FROM k JOIN i USING (level)""",
+)
+def onehot_levels(t):
+    """A category of some 5,000 levels, one of them a missing value, as sparse vectors."""
+    rest = F.col("o_orderkey") % 5001
+    rows = t.orders.select("o_orderkey", F.when(rest != 5000, F.concat(F.lit("level "), rest.cast("string"))).alias("level"))
+    coded, levels = propensity.one_hot_sparse(rows, "level", "code")
+    dense = vector_to_array("code")
+    place = F.array_position(dense, F.lit(1.0)) - 1
+    return coded.select("o_orderkey", place.cast("int").alias("place"), F.size(dense).alias("size"), F.get(dense, place.cast("int")).alias("value"))
+
+
 @query(
     "missing_cells",
     """SELECT 'quality' AS feature, count(*) FILTER (quality IS NULL) AS n_missing FROM voice_base
@@ -369,6 +432,15 @@ def model_comparison(t):
     return rounded(out, "accuracy", "f1_no", "f1_yes", "auc", places=4)
 
 
+@query("scored_from_bundle")
+def scored_from_bundle(t):
+    """Test rows scored by models that were saved as a bundle and loaded again."""
+    f = fitted(t)
+    path = shared_dir(t.spark, "bundle")
+    files.save_models(path, **f.models)
+    return propensity.score_all(files.load_models(path, *f.models), f.test, "target", "review_id")
+
+
 @query("framework")
 def framework(t):
     f = fitted(t)

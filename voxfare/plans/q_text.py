@@ -330,11 +330,11 @@ def html_cards_lounge(t):
 
 # ---------------------------------------------------------------- keywords and complaints
 
-def _keywords(t, hits: str, kind: str):
-    """Delimited lists as an export holds them, then exploded again."""
-    listed = t.voice.withColumn("__k", F.array_join(F.transform(hits, lambda w: F.concat(F.lit(" "), F.upper(w), F.lit(" "))), "|"))
+def _keywords(t, kinds: dict[str, str]):
+    """Delimited lists as an export holds them, then exploded again, all kinds in one pass."""
+    lists = {f"__{c}": F.array_join(F.transform(c, lambda w: F.concat(F.lit(" "), F.upper(w), F.lit(" "))), "|") for c in kinds}
     meta = ("review_id", "year", "month", "seat_type", "route", "sentiment_overall", "sentiment_score")
-    return voice.explode_terms(listed, "__k", kind, meta)
+    return voice.explode_typed(t.voice.withColumns(lists), {f"__{c}": kind for c, kind in kinds.items()}, meta)
 
 
 KEYWORD_SQL = """{0} AS (SELECT review_id, year, month, seat_type, route, sentiment_overall, sentiment_score,
@@ -351,7 +351,7 @@ KEYWORD_SQL = """{0} AS (SELECT review_id, year, month, seat_type, route, sentim
     ("voice",),
 )
 def keyword_explode_rank(t):
-    return rounded(voice.ranked_terms(_keywords(t, "pos_hits", "positive")), "sentiment_score")
+    return rounded(voice.ranked_terms(_keywords(t, {"pos_hits": "positive"})), "sentiment_score")
 
 
 @query(
@@ -362,7 +362,7 @@ def keyword_explode_rank(t):
     ("voice",),
 )
 def keyword_combined(t):
-    rows = voice.combined_terms(_keywords(t, "pos_hits", "positive"), _keywords(t, "neg_hits", "negative"))
+    rows = voice.combined_terms(_keywords(t, {"pos_hits": "positive", "neg_hits": "negative"}))
     return rows.select("review_id", "keyword", "sentiment_type", "freq_within_type")
 
 
@@ -422,6 +422,18 @@ def cluster_terms(t):
     return voice.cluster_terms(docs, "text", "cluster", "doc_id")
 
 
+@query(
+    "term_weights",
+    f"""WITH w AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS word FROM documents),
+      c AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word NOT IN {STOP_SQL} GROUP BY 1, 2),
+      k AS (SELECT word, count(*) AS df FROM c GROUP BY 1)
+      SELECT doc_id, word, tf, df, round(ln(((SELECT count(text) FROM documents) + 1.0) / (df + 1)), 6) AS idf,
+        round(tf * ln(((SELECT count(text) FROM documents) + 1.0) / (df + 1)), 6) AS weight FROM c JOIN k USING (word)""",
+)
+def term_weights(t):
+    return rounded(voice.term_weights(files.spread(t.documents.select("doc_id", "text")), "text", "doc_id"), "idf", "weight")
+
+
 # ---------------------------------------------------------------- themes and months
 
 THEME_COLS = [f"theme_{t}" for t in THEME_WORDS]

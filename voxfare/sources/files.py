@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import StringType, StructType
 
+from voxfare.session import checkpointed
+
 # Texts that a CSV reader takes for a missing value. Lower-case "none" is text.
 NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -28,16 +32,75 @@ def null_tokens(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     return df.select(*out)
 
 
+WHOLE, HEAD, MIDDLE, TAIL = range(4)
+_PIECES = "file bigint, block bigint, kind int, record string"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of each block of a file from its lines in order, and the pieces of records that other blocks share.
+
+    ``open`` tells whether the block starts inside quotes; ``quotes`` is a line's number of quotes.
+    """
+    at = None  # the block at hand
+    held: list[str] = []  # lines of the record at hand
+    odd, whole = 0, True  # inside quotes; the record at hand started in this block
+
+    def pieces(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=["file", "block", "kind", "record"])
+
+    def rest() -> list[tuple]:
+        return [(*at, TAIL if whole else MIDDLE, "\n".join(held))] if held else []
+
+    for batch in batches:
+        out = []
+        columns = [batch.column(c).to_pylist() for c in ("file", "block", "open", "quotes", "line")]
+        for file, block, opened, quotes, line in zip(*columns):
+            if at != (file, block):
+                if at:
+                    out += rest()
+                at, held, odd, whole = (file, block), [], opened, not opened
+                if block == 0:
+                    continue  # the header
+            held.append(line)
+            odd ^= quotes & 1
+            if not odd:
+                out.append((file, block, WHOLE if whole else HEAD, held[0] if len(held) == 1 else "\n".join(held)))
+                held, whole = [], True
+        yield pieces(out)
+    if at:
+        yield pieces(rest())
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of CSV files as text (column record), without each file's first line, read in splits.
+
+    A line break inside quotes belongs to its record. Whether a split starts inside quotes follows from the number of quotes before
+    it in its file, so one pass counts quotes per split and the next joins lines into records; the few records that run over the
+    end of a split are put together last. As in RFC 4180 a quote inside a cell is doubled and stands in quotes. Empty
+    lines between records are left out. The counts, one row of 24 bytes per split (20 MB for 100 TB), are broadcast.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), quotes.alias("quotes"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    counts = lines.groupBy("file", "block").agg(F.sum("quotes").alias("n"))
+    opened = counts.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) % 2).cast("int").alias("open"))
+    pieces = lines.join(F.broadcast(opened), ["file", "block"]).select("file", "block", "open", "quotes", "line").mapInArrow(_pieces, _PIECES)
+    pieces = checkpointed(pieces, "csv-pieces")
+    order = W.partitionBy("file").orderBy("block", "kind")
+    parts = pieces.filter(F.col("kind") != WHOLE).withColumn("chain", F.count_if(F.col("kind") == TAIL).over(order))
+    sorted_parts = F.sort_array(F.collect_list(F.struct("block", "kind", "record")))  # the blocks of one record
+    joined = parts.groupBy("file", "chain").agg(F.array_join(F.transform(sorted_parts, lambda p: p["record"]), "\n").alias("record"))
+    every = pieces.filter(F.col("kind") == WHOLE).select("record").unionByName(joined.select("record"))
+    return every.select(F.regexp_replace("record", "\r$", "").alias("record")).filter("record <> ''")
+
+
 def read_reviews(spark: SparkSession, path: str, schema: StructType, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes; missing-value tokens become NULL."""
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(path)
-    )
-    return null_tokens(raw, tokens)
+    options = {"escape": '"', "multiLine": "true"}  # keep line breaks inside quotes as they are
+    cells = csv_records(spark, path).select(F.from_csv("record", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), options).alias("cells"))
+    return null_tokens(cells.select("cells.*"), tokens)
 
 
 def write_csv(df: DataFrame, path: str, bom: bool = False, mode: str = "overwrite") -> None:
