@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxfare.llm.common import chunk_ends, slices, stored, texts_of
+from voxfare.llm.common import chunk_ends, slices, texts_of
 
 LEAST, NORMAL, MOST = 12, 32, 255
 DIGEST_BYTES = 5
@@ -63,36 +63,39 @@ def judged(doc: int, text: str, own: frozenset[bytes], following: str, next_set:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=[*NAMES, "seg", "first", "last", "edge"])
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=NAMES)
 
 
 def _along_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Judge each row by the one after it; the last of the range waits for the next range's first.
-
-    The first and the last row of a range carry their text as ``edge``; the last one has no other figures yet.
-    """
-    held, first = None, True
+    """Judge each row of a range by the one after it; the last row, which has none here, is left out."""
+    held = None
     for batch in batches:
         for part in slices(batch, 64):
             out = []
-            for doc, text, seg in zip(part.column("doc_id").to_pylist(), texts_of(part, "text"), part.column("seg").to_pylist()):
+            for doc, text in zip(part.column("doc_id").to_pylist(), texts_of(part, "text")):
                 own = chunk_set(text)
                 if held is not None:
-                    out.append((*judged(held[0], held[1], held[2], text, own), held[3], first, False, held[1] if first else None))
-                    first = False
-                held = (doc, text, own, seg)
-            if out:
-                yield _rows(out)
-    if held is not None:
-        yield _rows([(held[0], None, None, None, None, None, None, held[3], first, True, held[1])])
+                    out.append(judged(*held, text, own))
+                held = (doc, text, own)
+            yield _rows(out)
+
+
+def _range_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the number of the range, its first text, and the id and text of its last row."""
+    first = last = None
+    for batch in batches:
+        if batch.num_rows:
+            first = first or batch.slice(0, 1)
+            last = batch.slice(batch.num_rows - 1)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([first.column("seg"), first.column("text"), last.column("doc_id"), last.column("text")], names=["seg", "opening", "doc_id", "closing"])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 16):
-            rows = [judged(d, t, chunk_set(t), n, chunk_set(n)) for d, t, n in zip(part.column("doc_id").to_pylist(), texts_of(part, "edge"), texts_of(part, "following"))]
-            yield _rows([(*r, None, None, None, None) for r in rows]).select(NAMES)
+            yield _rows([judged(d, t, chunk_set(t), n, chunk_set(n)) for d, t, n in zip(part.column("doc_id").to_pylist(), texts_of(part, "closing"), texts_of(part, "following"))])
 
 
 def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -102,18 +105,16 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_i
     last. A null text is empty: its fingerprint is the empty string. Repeated rows each give a row. A single row
     follows itself; an empty table gives an empty result. Other columns are not read.
 
-    Texts cross the network once, dealt to ranges of the key; only the first and last text of each range meet again.
+    Texts cross the network once, dealt to ranges of the key. Two branches of one plan read this exchange: one judges all rows of
+    a range but the last, the other finds the ends of the ranges, and only these few texts meet again.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     ordered = read.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    made = ordered.select("doc_id", "text", F.spark_partition_id().alias("seg")).mapInArrow(_along_range, f"{OUT}, seg int, first boolean, last boolean, edge string")
-    made = stored(made, "fingerprints")
-    firsts = made.filter("first").select("seg", F.col("edge").alias("opening"))  # one row per range
-    by_range = W.orderBy("seg")
-    follows = firsts.select("seg", F.coalesce(F.lead("opening").over(by_range), F.first("opening").over(by_range)).alias("following"))
-    waiting = made.filter("last").select("doc_id", "edge", "seg").join(follows, "seg").select("doc_id", "edge", "following")
-    out = made.filter("not last").select(*NAMES).unionByName(waiting.mapInArrow(_edges, OUT))
+    inner = ordered.select("doc_id", "text").mapInArrow(_along_range, OUT)
+    ends = ordered.select("doc_id", "text", F.spark_partition_id().alias("seg")).mapInArrow(_range_ends, "seg int, opening string, doc_id long, closing string")
+    by_range = W.orderBy("seg")  # one row per range
+    following = F.coalesce(F.lead(F.coalesce("opening", F.lit(""))).over(by_range), F.first(F.coalesce("opening", F.lit(""))).over(by_range))
+    last = ends.select("doc_id", "closing", following.alias("following")).mapInArrow(_edges, OUT)
     written = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
-    return out.withColumns(written).withColumnRenamed("doc_id", key)
+    return inner.unionByName(last).withColumns(written).withColumnRenamed("doc_id", key)
