@@ -2,6 +2,9 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from helpers import AWKWARD, docs_of
 from voxfare.llm import segmentation
@@ -30,12 +33,39 @@ def all_paths(lattice, text):
     return sorted(back(len(whole)), reverse=True)
 
 
+def check_text(lattice, text):
+    found = lattice.segment(text)
+    assert [s for s, _, _, _ in found] == all_paths(lattice, text)[:3]
+    assert len({ids for _, _, ids, _ in found}) == len(found)
+    assert all(same and lattice.decode(ids) == text and len(ids) == 4 * n for _, n, ids, same in found)
+
+
 @pytest.mark.parametrize("text", ["a", "ab", "the cat", "  x ", "hello", "naïve", "日本", "a  b", "\ta", "is it so"])
 def test_best_paths_are_those_of_an_exhaustive_walk(lattice, text):
-    found = lattice.segment(text)
-    assert [s for s, _, _ in found] == all_paths(lattice, text)[:3]
-    assert len({ids for _, _, ids in found}) == len(found)
-    assert all(lattice.decode(ids) == text and len(ids) == 4 * n for _, n, ids in found)
+    check_text(lattice, text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("aeinrst  ä日\t\U0001f600"), min_size=1, max_size=9))
+def test_random_strings_by_an_exhaustive_walk(lattice, text):
+    check_text(lattice, text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("aeinrst ü"), min_size=1, max_size=12))
+def test_forward_pass_knows_the_two_best_paths(lattice, word):
+    for part in segmentation.WORDS.findall(" " + word):
+        score, n, ids, gap, same = lattice[part]
+        ways = lattice.ways_of(part)
+        assert (score, n, ids) == ways[0] and same
+        assert gap == (ways[0][0] - ways[1][0] if len(ways) > 1 else float("inf"))
+
+
+@pytest.mark.parametrize("text", ["the cat sat", "Hello, wonderful world!", "naïve café", "日本語 text", "a b c"])
+def test_decoding_equals_the_library(lattice, text):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for _, _, ids, _ in lattice.segment(text):
+        assert library.decode(memoryview(ids).cast("I").tolist()) == text == lattice.decode(ids)
 
 
 def test_awkward_rows_are_restored(spark):

@@ -6,8 +6,9 @@ partial path is worth its own score plus the forward score of its node, which is
 paths in descending order of score. Scores are integers, so sums have no rounding and ties stay ties.
 
 No piece has a space after another character, so each node before a run of spaces is one that all paths
-pass. The search runs between such nodes, words are kept, and the best combinations of their paths are
-the best paths of the whole text.
+pass. The search runs between such nodes, and the best combinations of the words' paths are the best paths of the whole
+text. The forward pass also gives the score that a word loses with its second-best path. Among the n best paths of a text only the
+n - 1 words that lose least can leave their best path, so A* runs for these words alone. Words are kept.
 
 The model file ranks pieces. The score of a piece is the logarithm of its rank, as under Zipf's law.
 """
@@ -18,11 +19,11 @@ import heapq
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -52,10 +53,12 @@ def _opened(path: str, best: int) -> Lattice:
 
 
 class Lattice(dict):
-    """By word: its best paths as (score, number of pieces, ids as little-endian 32-bit bytes)."""
+    """By word: score, number of pieces and ids (little-endian 32-bit bytes) of its best path, the score that the second-best
+    path loses (inf: there is none), and whether the ids decode to the word."""
 
     def __init__(self, model: sentencepiece.SentencePieceProcessor, best: int):
         super().__init__()
+        self.ways: dict[str, list[tuple[int, int, bytes]]] = {}
         self.best = best
         size = model.get_piece_size()
         self.octets: list[bytes] = [b""] * size
@@ -72,23 +75,81 @@ class Lattice(dict):
                 self.octets[number] = written.encode()
                 if " " not in written.lstrip(" "):
                     self.scores[written] = (-round(math.log(2 - model.get_score(number)) * SCALE), number)
-        self.longest = max(map(len, self.scores), default=1)
+        #: Every beginning of a piece; those that are no pieces have nothing.
+        self.begun: dict[str, tuple[int, int] | tuple[()]] = {w[:n]: () for w in self.scores for n in range(1, len(w))} | self.scores
+
+    def bytes_of(self, c: str) -> tuple[int, ...]:
+        return tuple(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))
 
     def arcs(self, word: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each node the arcs that end there: (start, score, ids). A character without a piece is its bytes."""
         into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(len(word) + 1)]
-        known = self.scores
+        begun = self.begun
         for start in range(len(word)):
-            for end in range(start + 1, min(len(word), start + self.longest) + 1):
-                hit = known.get(word[start:end])
+            for end in range(start + 1, len(word) + 1):
+                hit = begun.get(word[start:end])
+                if hit is None:
+                    break
                 if hit:
                     into[end].append((start, hit[0], (hit[1],)))
-            if word[start] not in known:
-                ids = tuple(self.byte_ids[b] for b in word[start].encode("utf-8", "surrogatepass"))
+            if word[start] not in self.scores:
+                ids = self.bytes_of(word[start])
                 into[start + 1].append((start, self.byte_score * len(ids), ids))
         return into
 
-    def __missing__(self, word: str) -> list[tuple[int, int, bytes]]:
+    def __missing__(self, word: str) -> tuple[int, int, bytes, float, bool]:
+        """The forward pass: best and second-best score of each node; among equals the arc from the right wins."""
+        n = len(word)
+        first, second = [0] + [-math.inf] * n, [-math.inf] * (n + 1)
+        back, names = [0] * (n + 1), [0] * (n + 1)  # start and piece of the best arc into each node
+        spelt: dict[int, tuple[int, ...]] = {}  # nodes reached by the bytes of a character
+        begun = self.begun
+        for start, letter in enumerate(word):
+            best, next_best = first[start], second[start]
+            end = start + 1
+            hit = begun.get(letter)
+            if not hit:
+                spelt[end] = ids = self.bytes_of(letter)
+                name, gain = -1, self.byte_score * len(ids)
+            else:
+                gain, name = hit
+            while True:
+                score = best + gain
+                if score >= first[end]:
+                    other = next_best + gain
+                    second[end] = first[end] if first[end] > other else other
+                    first[end] = score
+                    back[end] = start
+                    names[end] = name
+                elif score > second[end]:
+                    second[end] = score
+                if hit is None:
+                    break
+                end += 1
+                while end <= n and (hit := begun.get(word[start:end])) == ():
+                    end += 1
+                if end > n or hit is None:
+                    break
+                gain, name = hit
+        path: list[int] = []
+        node = n
+        while node:
+            if names[node] >= 0:
+                path.append(names[node])
+            else:
+                path += reversed(spelt[node])
+            node = back[node]
+        path.reverse()
+        data = array("I", path).tobytes()
+        made = (first[n], len(path), data, first[n] - second[n], self.plain(data) == word)
+        if len(self) < MAX_KEPT and n <= 64:
+            self[word] = made
+        return made
+
+    def ways_of(self, word: str) -> list[tuple[int, int, bytes]]:
+        """The n best paths of a word, best first: backward A* search, exact by the scores of the forward pass."""
+        if word in self.ways:
+            return self.ways[word]
         into = self.arcs(word)
         forward = [0]
         for arcs in into[1:]:
@@ -103,39 +164,54 @@ class Lattice(dict):
                 while path:
                     ids += path[0]
                     path = path[1]
-                found.append((score, len(ids), np.array(ids, dtype="<u4").tobytes()))
+                found.append((score, len(ids), array("I", ids).tobytes()))
                 continue
             for start, gain, ids in into[node]:
                 made -= 1  # among equals the newest, so ties are followed to their end
                 heapq.heappush(heap, (-(score + gain + forward[start]), made, start, score + gain, (ids, path)))
-        if len(self) < MAX_KEPT and len(word) <= 64:
-            self[word] = found
+        if len(self.ways) < MAX_KEPT and len(word) <= 64:
+            self.ways[word] = found
         return found
 
-    def segment(self, text: str) -> list[tuple[int, int, bytes]]:
-        """The best segmentations of a text, best first: score, number of pieces, ids. The empty text has one, without ids."""
-        words = [self[w] for w in WORDS.findall(" " + text)] if text else []
-        whole = [w[0][2] for w in words]
-        score, count = sum(w[0][0] for w in words), sum(w[0][1] for w in words)
-        nearest = heapq.nsmallest(self.best - 1, ((w[0][0] - w[1][0], i) for i, w in enumerate(words) if len(w) > 1))
+    def segment(self, text: str) -> list[tuple[int, int, bytes, bool]]:
+        """The best segmentations of a text, best first: score, number of pieces, ids, and whether they decode to the text.
+
+        The empty text has one, without ids.
+        """
+        parts = WORDS.findall(" " + text) if text else []
+        words = [self[w] for w in parts]
+        whole = [w[2] for w in words]
+        score, count, restored = sum([w[0] for w in words]), sum([w[1] for w in words]), all([w[4] for w in words])
+        gaps = [w[3] for w in words]
         ways: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
-        for _, i in nearest:
-            ways = heapq.nsmallest(self.best, ((c + words[i][0][0] - p[0], (*w, (i, j)) if j else w) for c, w in ways for j, p in enumerate(words[i])))
+        paths = {}
+        for _ in range(min(self.best - 1, len(gaps))):
+            least = min(gaps)
+            if least == math.inf:
+                break
+            i = gaps.index(least)
+            gaps[i] = math.inf
+            paths[i] = self.ways_of(parts[i])
+            ways = heapq.nsmallest(self.best, ((c + paths[i][0][0] - p[0], (*w, (i, j)) if j else w) for c, w in ways for j, p in enumerate(paths[i])))
         out = []
         for loss, changes in ways:
-            ids, pieces = whole, count
+            ids, pieces, same = whole, count, restored
             if changes:
                 ids = whole.copy()
                 for i, j in changes:
-                    ids[i] = words[i][j][2]
-                    pieces += words[i][j][1] - words[i][0][1]
-            out.append((score - loss, pieces, b"".join(ids)))
+                    ids[i] = paths[i][j][2]
+                    pieces += paths[i][j][1] - words[i][1]
+                    same = same and self.plain(ids[i]) == parts[i]
+            out.append((score - loss, pieces, b"".join(ids), same))
         return out
 
+    def plain(self, ids: bytes) -> str:
+        return b"".join(map(self.octets.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "surrogatepass")
+
     def decode(self, ids: bytes) -> str:
-        """The text of a segmentation, without the space put before it."""
-        data = b"".join(map(self.octets.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-        return data[1:].decode("utf-8", "surrogatepass")
+        """The text of a segmentation, without the space put before it. Pieces decode one by one, so a text is restored
+        where all its words are."""
+        return self.plain(ids)[1:]
 
 
 def segment_documents(docs: DataFrame, pieces: Pieces, best: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -155,8 +231,8 @@ def segment_documents(docs: DataFrame, pieces: Pieces, best: int = 3, text: str
             for part in slices(batch):
                 rows = []
                 for doc, t in zip(part.column("doc_id").to_pylist(), texts_of(part, "text")):
-                    for rank, (score, n, ids) in enumerate(lattice.segment(t), 1):
-                        rows.append((doc, rank, score / SCALE, n, zlib.crc32(ids), lattice.decode(ids) == t))
+                    for rank, (score, n, ids, restored) in enumerate(lattice.segment(t), 1):
+                        rows.append((doc, rank, score / SCALE, n, zlib.crc32(ids), restored))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=names)
 
     read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
