@@ -200,3 +200,11 @@ def test_clusters(spark):
     assert sizes == {1: 3, 2: 2}
     w2v, _ = clusters.text_vectors(docs, "t", method="word2vec", word_size=8)
     assert len(w2v.first()["features"]) == 8
+
+
+def test_cross_validation_of_several_models(prepared):
+    _, rows = prepared
+    dealt = propensity.fold_column(rows.drop("fold"), "id", "target", 3)
+    models = {"rf": propensity.forest("target", trees=3, depth=3), "boosted": propensity.boosted("target", rounds=2, depth=2)}
+    table = {r["model"]: r for r in propensity.cross_validate_all(models, dealt, "target", 3).collect()}
+    assert table.keys() == models.keys() and all(0.5 < r["cv_auc_mean"] <= 1 and r["cv_auc_sd"] >= 0 for r in table.values())

@@ -457,22 +457,20 @@ def _leaf_contributions(x: np.ndarray, leaves: list[dict[str, Any]], n_features:
     return phi
 
 
-def tree_shap(model, df: DataFrame, names: Sequence[str], key: str, features_col: str = "features") -> DataFrame:
-    """Contribution of each feature to the margin of a boosted model, one row per row key and feature.
+def leaf_shap(leaves: Sequence[Mapping[str, Any]], df: DataFrame, names: Sequence[str], key: str, x: Column) -> DataFrame:
+    """Contribution of each feature to a sum of leaves (see ``tree_paths``), one row per row key and feature.
 
-    The paths travel to the workers as one broadcast; rows are handled in Arrow batches.
+    The leaves travel to the workers as one broadcast, of the model's size; rows are handled in Arrow batches.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(tree_paths(model, spark))
+    shared = df.sparkSession.sparkContext.broadcast(list(leaves))
     names = list(names)
-    rows = df.select(F.col(key).cast("string").alias(key), vector_to_array(features_col).alias("x"))
+    rows = df.select(F.col(key).cast("string").alias(key), x.alias("x"))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaves = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
-            phi = _leaf_contributions(np.stack(pdf["x"].to_numpy()), leaves, len(names))
+            phi = _leaf_contributions(np.stack(pdf["x"].to_numpy()), shared.value, len(names))
             yield pd.DataFrame(
                 {key: np.repeat(pdf[key].to_numpy(), len(names)), "feature": names * len(pdf), "phi": phi.ravel()}
             )
@@ -480,6 +478,11 @@ def tree_shap(model, df: DataFrame, names: Sequence[str], key: str, features_col
     return rows.mapInPandas(explain, f"`{key}` string, feature string, phi double")
 
 
+def tree_shap(model, df: DataFrame, names: Sequence[str], key: str, features_col: str = "features") -> DataFrame:
+    """Contribution of each feature to the margin of a boosted model, one row per row key and feature."""
+    return leaf_shap(tree_paths(model, df.sparkSession), df, names, key, vector_to_array(features_col))
+
+
 def dependence_grids(df: DataFrame, names: Sequence[str], chosen: Sequence[str], points: int = 100, features_col: str = "features") -> dict[str, tuple[int, list[float]]]:
     """Place and grid of each chosen feature: even steps between the 5 % and 95 % quantiles, or the distinct values
     where those are fewer than ``points``."""

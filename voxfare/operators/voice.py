@@ -13,9 +13,9 @@ from voxfare.functions import text
 from voxfare.operators.ranking import (
     attach,
     dense_ranks,
+    hash_order,
     once,
     salted_join,
-    take_lowest,
     top_k,
     top_per_group,
     union_all,
@@ -41,11 +41,10 @@ def not_stated(df: DataFrame, cols: Sequence[str], value: str = text.NOT_STATED)
 
 def stratified(df: DataFrame, strata: Sequence[str], key: str, n: int, seed: int = 42, cells: int = 12) -> DataFrame:
     """``n`` / ``cells`` rows of every stratum, at least one, in a fixed random order; rows without a
-    stratum drop out."""
+    stratum drop out. One pass: a task sends no more rows of a stratum than are wanted in all."""
     for s in strata:
         df = df.filter(F.col(s).isNotNull())
-    quota = F.lit(max(1, n // cells))
-    return take_lowest(df, strata, key, seed, quota).filter("__taken").drop("__taken")
+    return top_per_group(df, strata, [hash_order(key, seed)], max(1, n // cells))
 
 
 def prompt(template: str, fields: Mapping[str, Column | str]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxfare.plans import q_models, q_stats, q_streams, q_summaries, q_text  # noqa: F401
+from voxfare.plans import q_models, q_parts, q_stats, q_streams, q_summaries, q_text  # noqa: F401
 from voxfare.plans.registry import ORACLES, QUERIES, Plan
 
 
