@@ -33,7 +33,7 @@ from voxfare.llm.common import slices, texts_of
 
 SCALE = 1_000_000
 #: Words kept per worker; beyond that new ones are searched each time they come.
-MAX_KEPT = 300_000
+MAX_KEPT = 800_000
 WORDS = re.compile(r" *[^ ]+| +")
 
 
@@ -53,12 +53,13 @@ def _opened(path: str, best: int) -> Lattice:
 
 
 class Lattice(dict):
-    """By word: score, number of pieces and ids (little-endian 32-bit bytes) of its best path, the score that the second-best
-    path loses (inf: there is none), and whether the ids decode to the word."""
+    """By word: score, number of pieces and ids (little-endian 32-bit bytes) of its best path, and the score that the
+    second-best path loses (inf: there is none). ``lost`` holds words whose ids do not decode to them."""
 
     def __init__(self, model: sentencepiece.SentencePieceProcessor, best: int):
         super().__init__()
         self.ways: dict[str, list[tuple[int, int, bytes]]] = {}
+        self.lost: set[str] = set()
         self.best = best
         size = model.get_piece_size()
         self.octets: list[bytes] = [b""] * size
@@ -75,8 +76,8 @@ class Lattice(dict):
                 self.octets[number] = written.encode()
                 if " " not in written.lstrip(" "):
                     self.scores[written] = (-round(math.log(2 - model.get_score(number)) * SCALE), number)
-        #: Every beginning of a piece; those that are no pieces have nothing.
-        self.begun: dict[str, tuple[int, int] | tuple[()]] = {w[:n]: () for w in self.scores for n in range(1, len(w))} | self.scores
+        #: Every beginning of a piece; those that are no pieces have None.
+        self.begun: dict[str, tuple[int, int] | None] = {w[:n]: None for w in self.scores for n in range(1, len(w))} | self.scores
 
     def bytes_of(self, c: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))
@@ -87,8 +88,8 @@ class Lattice(dict):
         begun = self.begun
         for start in range(len(word)):
             for end in range(start + 1, len(word) + 1):
-                hit = begun.get(word[start:end])
-                if hit is None:
+                hit = begun.get(word[start:end], False)
+                if hit is False:
                     break
                 if hit:
                     into[end].append((start, hit[0], (hit[1],)))
@@ -97,17 +98,17 @@ class Lattice(dict):
                 into[start + 1].append((start, self.byte_score * len(ids), ids))
         return into
 
-    def __missing__(self, word: str) -> tuple[int, int, bytes, float, bool]:
+    def __missing__(self, word: str) -> tuple[int, int, bytes, float]:
         """The forward pass: best and second-best score of each node; among equals the arc from the right wins."""
         n = len(word)
         first, second = [0] + [-math.inf] * n, [-math.inf] * (n + 1)
         back, names = [0] * (n + 1), [0] * (n + 1)  # start and piece of the best arc into each node
         spelt: dict[int, tuple[int, ...]] = {}  # nodes reached by the bytes of a character
-        begun = self.begun
+        begun = self.begun.get
         for start, letter in enumerate(word):
             best, next_best = first[start], second[start]
             end = start + 1
-            hit = begun.get(letter)
+            hit = begun(letter, False)
             if not hit:
                 spelt[end] = ids = self.bytes_of(letter)
                 name, gain = -1, self.byte_score * len(ids)
@@ -123,12 +124,12 @@ class Lattice(dict):
                     names[end] = name
                 elif score > second[end]:
                     second[end] = score
-                if hit is None:
+                if hit is False:
                     break
                 end += 1
-                while end <= n and (hit := begun.get(word[start:end])) == ():
+                while end <= n and (hit := begun(word[start:end], False)) is None:
                     end += 1
-                if end > n or hit is None:
+                if end > n or hit is False:
                     break
                 gain, name = hit
         path: list[int] = []
@@ -141,7 +142,9 @@ class Lattice(dict):
             node = back[node]
         path.reverse()
         data = array("I", path).tobytes()
-        made = (first[n], len(path), data, first[n] - second[n], self.plain(data) == word)
+        made = (first[n], len(path), data, first[n] - second[n])
+        if self.plain(data) != word:
+            self.lost.add(word)
         if len(self) < MAX_KEPT and n <= 64:
             self[word] = made
         return made
@@ -179,10 +182,9 @@ class Lattice(dict):
         The empty text has one, without ids.
         """
         parts = WORDS.findall(" " + text) if text else []
-        words = [self[w] for w in parts]
-        whole = [w[2] for w in words]
-        score, count, restored = sum([w[0] for w in words]), sum([w[1] for w in words]), all([w[4] for w in words])
-        gaps = [w[3] for w in words]
+        scores, counts, whole, gaps = map(list, zip(*map(self.__getitem__, parts))) if parts else ([], [], [], [])
+        score, count, data = sum(scores), sum(counts), b"".join(whole)
+        restored = not self.lost or self.lost.isdisjoint(parts)
         ways: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
         paths = {}
         for _ in range(min(self.best - 1, len(gaps))):
@@ -195,14 +197,14 @@ class Lattice(dict):
             ways = heapq.nsmallest(self.best, ((c + paths[i][0][0] - p[0], (*w, (i, j)) if j else w) for c, w in ways for j, p in enumerate(paths[i])))
         out = []
         for loss, changes in ways:
-            ids, pieces, same = whole, count, restored
-            if changes:
-                ids = whole.copy()
-                for i, j in changes:
-                    ids[i] = paths[i][j][2]
-                    pieces += paths[i][j][1] - words[i][1]
-                    same = same and self.plain(ids[i]) == parts[i]
-            out.append((score - loss, pieces, b"".join(ids), same))
+            ids, pieces, same = data, count, restored
+            for i, j in sorted(changes, reverse=True):  # from the right, so that places further left stay
+                at = 4 * sum(counts[:i])
+                new = paths[i][j]
+                ids = ids[:at] + new[2] + ids[at + 4 * counts[i] :]
+                pieces += new[1] - counts[i]
+                same = same and self.plain(new[2]) == parts[i]
+            out.append((score - loss, pieces, ids, same))
         return out
 
     def plain(self, ids: bytes) -> str:
