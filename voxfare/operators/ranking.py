@@ -219,9 +219,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
         F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.percentile_approx("__v", ends, SKETCH).alias("__q")
     )
     v, small = F.col("__v"), F.col("__n") <= SMALL_GROUP
-    brackets = [(F.when(small, F.col("__min")).otherwise(F.col("__q")[2 * k]), F.when(small, F.col("__max")).otherwise(F.col("__q")[2 * k + 1])) for k in range(len(probs))]
+    bounds = {}
+    for k in range(len(probs)):
+        bounds[f"__low{k}"] = F.when(small, F.col("__min")).otherwise(F.col("__q")[2 * k])
+        bounds[f"__high{k}"] = F.when(small, F.col("__max")).otherwise(F.col("__q")[2 * k + 1])
+    shape = shape.select(*by, "__min", "__max", *[c.alias(name) for name, c in bounds.items()])
     zone, width = F.lit(0), F.lit(-1).cast("bigint")
-    for low, high in brackets:
+    for k in range(len(probs)):
+        low, high = F.col(f"__low{k}"), F.col(f"__high{k}")
         zone = zone + (v >= low).cast("int") + (v > high).cast("int")
         part = F.when(high > low, F.floor((v - low) / (high - low) * WIDTHS)).otherwise(0)
         width = F.when((v >= low) & (v <= high), part).otherwise(width)
