@@ -1,8 +1,12 @@
 import random
+import threading
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from voxfare.operators import clusters, propensity
@@ -208,3 +212,46 @@ def test_cross_validation_of_several_models(prepared):
     models = {"rf": propensity.forest("target", trees=3, depth=3), "boosted": propensity.boosted("target", rounds=2, depth=2)}
     table = {r["model"]: r for r in propensity.cross_validate_all(models, dealt, "target", 3).collect()}
     assert table.keys() == models.keys() and all(0.5 < r["cv_auc_mean"] <= 1 and r["cv_auc_sd"] >= 0 for r in table.values())
+
+
+def test_forest_keeps_node_ids_and_its_trees(prepared):
+    _, rows = prepared
+    kept = propensity.forest("target", trees=6)
+    assert kept.getCacheNodeIds()
+    plain = kept.copy({kept.cacheNodeIds: False})
+    assert isinstance(plain, RandomForestClassifier) and not plain.getCacheNodeIds()
+    assert kept.fit(rows).toDebugString.split("\n")[1:] == plain.fit(rows).toDebugString.split("\n")[1:]
+
+
+class Counted:
+    """An estimator that notes how many fits run, and how many at the same time."""
+
+    def __init__(self, estimator, together):
+        self.estimator, self.fits, self.meet = estimator, 0, threading.Barrier(together)
+
+    def fit(self, df):
+        self.fits += 1
+        self.meet.wait(60)  # broken unless so many fits run side by side
+        return self.estimator.fit(df)
+
+
+def test_folds_are_fitted_side_by_side_and_once(prepared):
+    _, rows = prepared
+    dealt = propensity.fold_column(rows.drop("fold"), "id", "target", 3)
+    estimator = propensity.logistic(dealt, "target")
+    counted = Counted(estimator, 3)
+    got = propensity.cross_validate(counted, dealt, "target", 3).first()
+    cv = CrossValidator(
+        estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(), numFolds=3, foldCol="fold",
+        evaluator=BinaryClassificationEvaluator(labelCol="target"),
+    ).fit(dealt)
+    assert counted.fits == 3
+    assert (got["cv_auc_mean"], got["cv_auc_sd"]) == pytest.approx((cv.avgMetrics[0], cv.stdMetrics[0]))
+
+
+def test_folds_out_of_range_are_refused(prepared):
+    _, rows = prepared
+    dealt = propensity.fold_column(rows.drop("fold"), "id", "target", 4)
+    for wrong in (dealt, dealt.filter("fold <> 1"), dealt.withColumn("fold", F.when(F.col("fold") > 0, F.col("fold")))):
+        with pytest.raises(ValueError, match="fold"):
+            propensity.cross_validate(propensity.logistic(dealt, "target"), wrong, "target", 3)

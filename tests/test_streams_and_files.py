@@ -163,3 +163,11 @@ def test_daily_summary_drops_repeats_and_marks_open_days(spark, tmp_path):
     _, again = run(late)  # one late row, one new day that closes three more, one repeat
     want = {d: (*x, True) for d, x in full.items()} | {6: (3, full[6][1] + 100.0, True), 10: (1, 7.0, False)}
     assert again == want
+
+
+def test_compact_gives_each_core_a_part_once_there_are_rows_enough(spark):
+    cores = spark.sparkContext.defaultParallelism
+    wide = spark.range(100 * cores, numPartitions=2 * cores)
+    assert files.compact(wide.select("id"), least=50).rdd.getNumPartitions() == cores
+    assert files.compact(wide.selectExpr("id + 1 AS id"), least=99).rdd.getNumPartitions() == cores
+    assert files.compact(wide.selectExpr("id + 2 AS id")).rdd.getNumPartitions() == 1
