@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -64,3 +65,30 @@ def test_starts_are_the_same_in_every_run(points):
     first, again = (clusters.hash_starts(df, "v", [2, 3], 3) for df in (points, points.repartition(7)))
     assert first.keys() == again.keys() == {(k, s) for k in (2, 3) for s in range(3)}
     assert all((first[n] == again[n]).all() for n in first)
+
+
+def test_nearest_is_that_of_exact_differences():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 5)), 1e6 + rng.normal(size=(300, 5)) * 1e-7, np.zeros((3, 5))])
+    for centres in (x[:7], np.concatenate([x[300:306], x[:2]]), np.concatenate([x[:2], x[:2], x[-2:]])):
+        d = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+        assert (clusters._nearest(x, (x * x).sum(axis=1), centres) == d.argmin(axis=1)).all()
+
+
+def test_one_spark_fit_follows_the_starts(spark, points, monkeypatch):
+    """The model is that of the seed of least cost, and only that seed is fitted to its end by Spark."""
+    full = []
+
+    class Noted(KMeans):
+        def _fit(self, dataset):
+            full.append(self.getMaxIter() > 0)
+            return super()._fit(dataset)
+
+    rows = points.select("v").persist()
+    fits = [KMeans(k=4, featuresCol="v", predictionCol="cluster_id", seed=s, maxIter=40).fit(rows) for s in range(6)]
+    monkeypatch.setattr(clusters, "KMeans", Noted)
+    model = clusters.kmeans(points, "v", 4, range(6), max_iter=40)
+    assert sorted(full) == [False] * 6 + [True]
+    want = min(fits, key=lambda m: m.summary.trainingCost)
+    assert model.summary.trainingCost == pytest.approx(want.summary.trainingCost, rel=1e-9)
+    assert np.stack(model.clusterCenters()) == pytest.approx(np.stack(want.clusterCenters()))

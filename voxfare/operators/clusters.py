@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover, Word2Vec
@@ -21,6 +22,7 @@ from voxfare.functions.scores import holds
 from voxfare.operators.ranking import attach
 from voxfare.operators.summaries import crosstab, mode_by, with_row_total
 from voxfare.operators.voice import cluster_examples
+from voxfare.session import side_by_side
 
 SEED = 42
 K_RANGE = (4, 12)
@@ -76,38 +78,63 @@ class Clustering:
     cost: float
 
 
-def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances of rows to centres; exact differences, so equal points are at zero."""
-    return np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+def _row_blocks(batch: pa.RecordBatch) -> np.ndarray | None:
+    """The vectors of an Arrow batch, whose first column is an array of doubles, as one matrix without copies per row."""
+    column = batch.column(0)
+    if not len(column):
+        return None
+    flat = column.flatten()
+    if column.null_count or flat.null_count or len(flat) % len(column):
+        raise ValueError("every row needs a vector of the same length")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def cluster_sums(df: DataFrame, vec: str, sets: Mapping[Any, np.ndarray]) -> dict[Any, Clustering]:
-    """Rows, sums and cost of many sets of centres at once, in one pass over the rows.
+def _nearest(x: np.ndarray, lengths: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Nearest centre of each row, ties to the first centre.
+
+    Products of matrices tell the distances up to rounding. Where another centre is within that error of the nearest, exact
+    differences decide, so the answer is that of exact differences.
+    """
+    about = lengths[:, None] + (centres * centres).sum(axis=1) - 2 * (x @ centres.T)
+    near = about.argmin(axis=1)
+    error = 1e-13 * x.shape[1] * (lengths + (centres * centres).sum(axis=1).max())
+    close = about <= (about[np.arange(len(x)), near] + 2 * error)[:, None]
+    unsure = np.flatnonzero((close.sum(axis=1) != 1) | ~np.isfinite(error))
+    if len(unsure):
+        near[unsure] = np.stack([((x[unsure] - c) ** 2).sum(axis=1) for c in centres], axis=1).argmin(axis=1)
+    return near
+
+
+def cluster_sums(df: DataFrame, vec: str, sets: Mapping[Any, np.ndarray], costs: bool = True) -> dict[Any, Clustering]:
+    """Rows, sums and cost of many sets of centres at once, in one pass over the rows; without ``costs`` the cost is NaN.
 
     Each task adds up its rows per centre and emits one row for each; Spark adds the vectors of a centre. What reaches the
     driver has the size of the centres.
     """
     names = list(sets)
+    shared = df.sparkSession.sparkContext.broadcast([np.asarray(sets[name], dtype=np.float64) for name in names])
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            x = _row_blocks(batch)
+            if x is None:
                 continue
-            x = np.stack(pdf["x"].to_numpy())
-            lengths = (x * x).sum(axis=1)
-            for i, name in enumerate(names):
-                d = _distances(x, sets[name])
-                near = d.argmin(axis=1)
-                k = d.shape[1]
-                sums = np.zeros((k, x.shape[1]))
-                np.add.at(sums, near, x)
-                new = (np.bincount(near, minlength=k), sums, np.bincount(near, lengths, k), np.bincount(near, d.min(axis=1), k))
+            lengths, at = (x * x).sum(axis=1), np.arange(len(x))
+            for i, centres in enumerate(shared.value):
+                near = _nearest(x, lengths, centres)
+                d = ((x - centres[near]) ** 2).sum(axis=1) if costs else np.full(len(x), np.nan)
+                k = len(centres)
+                member = np.zeros((k, len(x)))
+                member[near, at] = 1.0
+                new = (np.bincount(near, minlength=k), member @ x, np.bincount(near, lengths, k), np.bincount(near, d, k))
                 held[i] = tuple(p + q for p, q in zip(held[i], new)) if i in held else new
         for i, (n, sums, squares, cost) in held.items():
-            yield pd.DataFrame({"set_no": i, "centre": np.arange(len(n)), "n": n, "total": list(sums), "squares": squares, "cost": cost})
+            k = len(n)
+            cells = (np.full(k, i, dtype=np.int32), np.arange(k, dtype=np.int32), n.astype(np.int64), pa.array(list(sums)), squares, cost)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cells], names=["set_no", "centre", "n", "total", "squares", "cost"])
 
-    parts = df.select(vector_to_array(vec).alias("x")).mapInPandas(add, "set_no int, centre int, n long, total array<double>, squares double, cost double")
+    parts = df.select(vector_to_array(vec).alias("x")).mapInArrow(add, "set_no int, centre int, n long, total array<double>, squares double, cost double")
     added = parts.groupBy("set_no", "centre").agg(
         F.sum("n").alias("n"), Summarizer.sum(array_to_vector("total")).alias("total"), F.sum("squares").alias("squares"), F.sum("cost").alias("cost")
     ).collect()  # one row per centre
@@ -120,6 +147,7 @@ def cluster_sums(df: DataFrame, vec: str, sets: Mapping[Any, np.ndarray]) -> dic
                 n[r["centre"]], sums[r["centre"]], squares[r["centre"]] = r["n"], r["total"].toArray(), r["squares"]
                 cost += r["cost"]
         out[name] = Clustering(centres, n, sums, squares, cost)
+    shared.destroy()
     return out
 
 
@@ -131,17 +159,17 @@ def silhouettes(df: DataFrame, vec: str, found: Mapping[int, Clustering]) -> Dat
     """
     names = list(found)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(names))
         rows = 0
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            x = _row_blocks(batch)
+            if x is None:
                 continue
-            x = np.stack(pdf["x"].to_numpy())
             lengths, at = (x * x).sum(axis=1), np.arange(len(x))
             for i, name in enumerate(names):
                 c = found[name]
-                own = _distances(x, c.centres).argmin(axis=1)
+                own = _nearest(x, lengths, c.centres)
                 n = np.maximum(c.n, 1)
                 mean = np.maximum(lengths[:, None] + c.squares / n - 2 * (x @ (c.sums / n[:, None]).T), 0.0)
                 mean[:, c.n == 0] = np.inf
@@ -152,9 +180,9 @@ def silhouettes(df: DataFrame, vec: str, found: Mapping[int, Clustering]) -> Dat
                 most = np.maximum(inside, near)
                 total[i] += np.where(alone | (most == 0), 0.0, (near - inside) / np.where(alone | (most == 0), 1.0, most)).sum()
             rows += len(x)
-        yield pd.DataFrame({"k": np.array(names, dtype=np.int32), "total": total, "n": rows})
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(names, dtype=np.int32)), pa.array(total), pa.array(np.full(len(names), rows, dtype=np.int64))], names=["k", "total", "n"])
 
-    parts = df.select(vector_to_array(vec).alias("x")).mapInPandas(score, "k int, total double, n long")
+    parts = df.select(vector_to_array(vec).alias("x")).mapInArrow(score, "k int, total double, n long")
     return parts.groupBy("k").agg((F.sum("total") / F.sum("n")).alias("silhouette"))
 
 
@@ -171,25 +199,29 @@ def hash_starts(df: DataFrame, vec: str, ks: Sequence[int], starts: int, seed: i
     return {(k, s): np.stack(b[:k]) for k in ks for s, b in enumerate(blocks) if len(b) >= k or s == 0 and b}
 
 
-def best_of_starts(df: DataFrame, vec: str, ks: Sequence[int], starts: int = 10, seed: int = SEED, max_iter: int = 300, tolerance: float = 1e-4) -> dict[int, Clustering]:
-    """The clustering of least cost among the starts of each k, by Lloyd's steps for all of them at once.
+def lloyd(df: DataFrame, vec: str, starts: Mapping[Any, np.ndarray], max_iter: int, tolerance: float = 1e-4) -> dict[Any, Clustering]:
+    """Lloyd's steps for many starts at once, each until no centre moves further than ``tolerance``.
 
-    One pass over the rows moves the centres of every start that still moves further than ``tolerance``. A centre without rows
-    stays where it is.
+    One pass over the rows moves the centres of every start that still moves; costs are summed once, in a last pass. A centre without rows stays where it is.
     """
-    moving = hash_starts(df, vec, ks, starts, seed)
-    done: dict[tuple[int, int], Clustering] = {}
+    moving, done = dict(starts), {}
     for step in range(max_iter + 1):
-        found = cluster_sums(df, vec, moving)
+        found = cluster_sums(df, vec, moving, costs=False)
         moving = {}
         for name, c in found.items():
             new = np.where(c.n[:, None] > 0, c.sums / np.maximum(c.n, 1)[:, None], c.centres)
             if step < max_iter and ((new - c.centres) ** 2).sum(axis=1).max() > tolerance**2:
                 moving[name] = new
             else:
-                done[name] = c
+                done[name] = c.centres
         if not moving:
             break
+    return cluster_sums(df, vec, done)
+
+
+def best_of_starts(df: DataFrame, vec: str, ks: Sequence[int], starts: int = 10, seed: int = SEED, max_iter: int = 300, tolerance: float = 1e-4) -> dict[int, Clustering]:
+    """The clustering of least cost among the starts of each k, by Lloyd's steps for all of them at once."""
+    done = lloyd(df, vec, hash_starts(df, vec, ks, starts, seed), max_iter, tolerance)
     return {k: min((c for (own, _), c in sorted(done.items(), key=lambda x: x[0]) if own == k), key=lambda c: c.cost) for k in ks if any(own == k for own, _ in done)}
 
 
@@ -208,11 +240,21 @@ def choose_k(df: DataFrame, vec: str, ks: Sequence[int], seed: int = SEED, max_i
 def kmeans(
     df: DataFrame, vec: str, k: int, seeds: Iterable[int] = range(SEED, SEED + 15), max_iter: int = 500
 ) -> KMeansModel:
-    """The fit of least cost among several starts."""
+    """The fit of least cost among several starts.
+
+    The first centres of every seed are Spark's own. All starts then move together, one pass over the rows per step, and the seed
+    of least cost is fitted by Spark. Where costs agree up to rounding the first seed counts.
+    """
     rows = df.select(vec).persist()
     try:
-        fits = [KMeans(k=k, featuresCol=vec, predictionCol="cluster_id", seed=s, maxIter=max_iter).fit(rows) for s in seeds]
-        return min(fits, key=lambda m: m.summary.trainingCost)
+        fits = {s: KMeans(k=k, featuresCol=vec, predictionCol="cluster_id", seed=s, maxIter=max_iter) for s in seeds}
+        if len(fits) == 1:
+            return next(iter(fits.values())).fit(rows)
+        first = side_by_side(df.sparkSession, [partial(fit.fit, rows, {fit.maxIter: 0}) for fit in fits.values()])
+        starts = {s: np.stack(m.clusterCenters()) for s, m in zip(fits, first)}
+        cost = {s: c.cost for s, c in lloyd(rows, vec, starts, max_iter).items()}
+        least = min(cost.values())
+        return fits[next(s for s in fits if cost[s] <= least * (1 + 1e-12))].fit(rows)
     finally:
         rows.unpersist()
 
