@@ -146,3 +146,12 @@ def test_term_weights_by_hand(spark):
     got = {(r["id"], r["word"]): (r["tf"], r["df"], r["idf"], r["weight"]) for r in voice.term_weights(spark.createDataFrame(docs, "id int, t string"), "t", "id", stop=["the"]).collect()}
     idf = {n: math.log(4 / (n + 1)) for n in (1, 2)}  # three texts
     assert got == {(1, "crew"): (2, 2, idf[2], 2 * idf[2]), (1, "late"): (1, 1, idf[1], idf[1]), (1, "seats"): (1, 1, idf[1], idf[1]), (2, "crew"): (1, 2, idf[2], idf[2])}
+
+
+def test_extraction_takes_few_prompts_at_a_time(spark):
+    sizes = lambda prompts: prompts.map(lambda p: None if p is None else f"{len(prompts)} {p}")
+    df = spark.range(1, 1202, numPartitions=1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("t"), "id")).alias("p"))
+    got = {r["id"]: r for r in voice.extract(df, "p", "reply", sizes).collect()}
+    assert len(got) == 1201 and all(r["reply"] is None and r["p"] is None for i, r in got.items() if i % 7 == 0)
+    assert all(r["reply"].split()[1] == r["p"] == f"t{i}" for i, r in got.items() if i % 7)
+    assert {int(r["reply"].split()[0]) for r in got.values() if r["reply"]} == {voice.PROMPTS, 1201 % voice.PROMPTS}
