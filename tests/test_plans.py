@@ -59,3 +59,13 @@ PLAIN = sorted(set(catalog.queries()) - set(ORACLES) - {"model_cross_validation"
 def test_query_without_sql_runs(spark, name):
     df = driver.queries()[name](spark, str(SF))
     assert df.columns and df.count() > 0
+
+
+def test_sizes_of_text_vectors_come_from_their_stored_values(spark, tmp_path):
+    from voxfare.plans import catalog
+
+    texts = ["apple banana apple", "apple cherry", None, "the"]
+    spark.createDataFrame([(i, "en", x) for i, x in enumerate(texts) if x], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalog.queries()["text_vectors_tfidf"](spark, str(tmp_path))
+    assert {r["doc_id"]: r["n_terms"] for r in out.collect()} == {0: 2, 1: 2, 3: 0}
+    assert "unwrap_udt" in out._jdf.queryExecution().optimizedPlan().toString()  # no dense array of the vocabulary

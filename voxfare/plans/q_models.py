@@ -88,7 +88,7 @@ def pca_2d(t):
 def text_vectors_tfidf(t):
     docs = spread(t.documents.select("doc_id", "lang", "text"))
     vectors, _ = clusters.text_vectors(docs, "text")
-    size = F.size(F.filter(vector_to_array("features"), lambda x: x != 0))
+    size = F.size(F.filter(F.unwrap_udt("features")["values"], lambda x: x != 0))  # a dense array would hold the whole vocabulary per row
     return bigint(vectors.select("doc_id", size.alias("n_terms")), "n_terms")
 
 
