@@ -4,6 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from voxfare.plans import q_text
+from voxfare.plans.views import Tables
 from voxfare.sources import html_cards, schemas
 
 CARD = """<article itemprop="review">
@@ -150,3 +152,32 @@ def test_finish_filters_months_and_dedupes(spark):
 def test_column_lists(kind, n):
     cols = schemas.columns(kind)
     assert len(cols) == len(set(cols)) == n
+
+
+def composed(spark, tmp_path, n):
+    """Tables of n orders of two customers."""
+    orders = spark.range(n).selectExpr(
+        "id AS o_orderkey", "id % 2 AS o_custkey", "'F' AS o_orderstatus", "60000.0D AS o_totalprice",
+        "timestamp'2001-02-03 00:00:00' AS o_orderdate", "'2-HIGH' AS o_orderpriority",
+    )
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT * FROM VALUES (0L, 'A', 'FURNITURE', 1L), (1L, 'B', 'MACHINERY', 1L) AS c (c_custkey, c_name, c_mktsegment, c_nationkey)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT 1L AS n_nationkey, 'PERU' AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    return Tables(spark, str(tmp_path))
+
+
+def test_composed_pages_have_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    t = composed(spark, tmp_path, 1_000)
+    cores = spark.sparkContext.defaultParallelism
+    assert q_text.card_pages(t).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(q_text, "PAGES_PER_TASK", 1_000 // (5 * cores))
+    pages = q_text.card_pages(t)
+    assert pages.rdd.getNumPartitions() >= 5 * cores and pages.count() == 1_000
+
+
+def test_columns_that_are_not_shown_stay_out_of_the_dedupe(spark, tmp_path):
+    out = q_text.html_cards_query(composed(spark, tmp_path, 20))
+    assert sorted(r["review_id"] for r in out.collect()) == list(range(20))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    dedupe = next(line for line in plan.splitlines() if "min(" in line)
+    assert "review_text" in dedupe and "source_url" not in dedupe and "aircraft" not in dedupe
