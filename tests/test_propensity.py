@@ -3,14 +3,14 @@ import threading
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from voxfare.operators import clusters, propensity
-from voxfare.sources.files import load_models, save_models
+from voxfare.sources.files import gathered, load_models, save_models
 
 
 @pytest.fixture(scope="module")
@@ -255,3 +255,17 @@ def test_folds_out_of_range_are_refused(prepared):
     for wrong in (dealt, dealt.filter("fold <> 1"), dealt.withColumn("fold", F.when(F.col("fold") > 0, F.col("fold")))):
         with pytest.raises(ValueError, match="fold"):
             propensity.cross_validate(propensity.logistic(dealt, "target"), wrong, "target", 3)
+
+
+def test_logistic_fit_reads_few_partitions(prepared, monkeypatch):
+    _, rows = prepared
+    held = rows.repartition(6).persist()
+    read = []
+    whole = LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df: read.append(df) or whole(self, df))
+    estimator = propensity.logistic(held, "target")
+    model = propensity.fit(estimator, held)
+    assert [df.rdd.getNumPartitions() for df in read] == [1] and read[0].count() == rows.count()
+    assert gathered(held, max(1, rows.count() // 3)).rdd.getNumPartitions() in (3, 4)
+    assert gathered(held, 1) is held
+    assert list(model.coefficients) == pytest.approx(list(whole(estimator, held).coefficients), abs=1e-6)
