@@ -10,7 +10,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from voxfare.operators import clusters, propensity
-from voxfare.sources.files import gathered, load_models, save_models
+from voxfare.plans import q_models
+from voxfare.sources.files import compact, detached, gathered, load_models, save_models
 
 
 @pytest.fixture(scope="module")
@@ -269,3 +270,30 @@ def test_logistic_fit_reads_few_partitions(prepared, monkeypatch):
     assert gathered(held, max(1, rows.count() // 3)).rdd.getNumPartitions() in (3, 4)
     assert gathered(held, 1) is held
     assert list(model.coefficients) == pytest.approx(list(whole(estimator, held).coefficients), abs=1e-6)
+
+
+def _lineage(df):
+    return df._jdf.queryExecution().toRdd().toDebugString()
+
+
+def test_training_rows_leave_their_plan_behind(spark, monkeypatch):
+    """Each task of a fit is sent the lineage of its rows, so the features' shuffles must not stand in it."""
+    rnd = random.Random(7)
+    numeric = [c for c in (*q_models.SPEC.numeric.values(), *q_models.SPEC.flags.values(), *q_models.SPEC.rebook.values(), *q_models.SPEC.themes.values())]
+    texts = [*q_models.SPEC.categories.values(), "text", "positive_words", "negative_words"]
+    rows = [(i, i % 3 % 2, *[rnd.choice(["1", "2", None]) for _ in numeric], *[rnd.choice("ab") for _ in texts]) for i in range(150)]
+    table = spark.createDataFrame(rows, f"review_id bigint, target int, {', '.join(f'{c} string' for c in numeric + texts)}")
+    monkeypatch.setattr(q_models, "_target_rows", lambda t: table)
+    names, train, test = q_models.prepare(None)
+    assert "ShuffledRowRDD" not in _lineage(train) and train.is_cached
+    assert train.count() == 120 and test.count() == 30 and len(names) == len(train.first()["features"])
+
+
+def test_detached_rows_keep_their_parts_and_order(spark):
+    made = spark.range(0, 9_000, 1, 8).join(spark.range(0, 9_000, 3), "id").repartition(6, "id").withColumn("u", F.rand(3))
+    held = compact(made, rows_per_part=1_000, least=3_000)
+    parts = held.rdd.glom().collect()
+    assert "ShuffledRowRDD" in _lineage(held)
+    cut = detached(held)
+    assert cut.rdd.glom().collect() == parts and cut.schema == held.schema
+    assert "ShuffledRowRDD" not in _lineage(cut) and cut.is_cached and not held.is_cached
