@@ -3,7 +3,7 @@ import threading
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -272,6 +272,17 @@ def test_logistic_fit_reads_few_partitions(prepared, monkeypatch):
     assert list(model.coefficients) == pytest.approx(list(whole(estimator, held).coefficients), abs=1e-6)
 
 
+def test_boosted_fit_reads_few_partitions(prepared, monkeypatch):
+    _, rows = prepared
+    held = rows.repartition(6).persist()
+    read = []
+    for kind in (GBTClassifier, RandomForestClassifier):
+        monkeypatch.setattr(kind, "fit", lambda self, df, whole=kind.fit: read.append(df.rdd.getNumPartitions()) or whole(self, df))
+    model = propensity.fit(propensity.boosted("target", rounds=2, depth=2), held)
+    propensity.fit(propensity.forest("target", trees=2, depth=2), held)
+    assert read == [1, 6] and model.getNumTrees == 2
+
+
 def _lineage(df):
     return df._jdf.queryExecution().toRdd().toDebugString()
 
