@@ -215,6 +215,21 @@ def test_cross_validation_of_several_models(prepared):
     assert table.keys() == models.keys() and all(0.5 < r["cv_auc_mean"] <= 1 and r["cv_auc_sd"] >= 0 for r in table.values())
 
 
+def test_registered_cross_validation_fits_whole_models(spark, prepared, monkeypatch):
+    _, rows = prepared
+    given = {}
+
+    def noted(models, train, target):
+        given.update(models)
+        return spark.createDataFrame([("lr", 0.5, 0.0)], "model string, cv_auc_mean double, cv_auc_sd double")
+
+    monkeypatch.setattr(q_models, "fitted", lambda t: q_models.Fitted([], rows, rows, {}))
+    monkeypatch.setattr(propensity, "cross_validate_all", noted)
+    assert q_models.model_cross_validation(None).count() == 1
+    assert list(given) == ["lr", "rf", "boosted"]
+    assert (given["lr"].getMaxIter(), given["rf"].getNumTrees(), given["boosted"].getMaxIter()) == (2000, 300, 300)
+
+
 def test_forest_keeps_node_ids_and_its_trees(prepared):
     _, rows = prepared
     kept = propensity.forest("target", trees=6)
