@@ -228,6 +228,7 @@ def test_registered_cross_validation_fits_whole_models(spark, prepared, monkeypa
     assert q_models.model_cross_validation(None).count() == 1
     assert list(given) == ["lr", "rf", "boosted"]
     assert (given["lr"].getMaxIter(), given["rf"].getNumTrees(), given["boosted"].getMaxIter()) == (2000, 300, 300)
+    assert given["boosted"].spark_rows == 0
 
 
 def test_forest_keeps_node_ids_and_its_trees(prepared):
